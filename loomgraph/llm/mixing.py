@@ -6,6 +6,8 @@ one to the other, in a random direction whose odds keep both expectations, until
 fraction is 0 or 1.  The words expected in total never change, so a source ends within
 one document of its target.
 
+Longer documents are settled first, so that the one left over tends to be short.
+
 The pairs form a reduction tree.  A leaf holds some fifty documents by hash, folds them
 and passes its one unsettled document on; fifty leaves make the next group.  No group
 grows with a source, and all randomness is hashed from keys, so reruns agree.
@@ -115,7 +117,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: t
         # Settled rows, and those whose source has nothing to round, need no group.
         open_row = (F.col("_p") > _SURE) & (F.col("_p") < 1 - _SURE)
         done.append(level.filter(~open_row).select(*fields, F.round("_p").alias("_p")))
-        item = F.struct(F.col("_h").alias("h"), _uniform(F.col("_h"), step).alias("u"), F.col("_p").alias("p"), F.col("_size").cast("double").alias("a"), *fields)
+        item = F.struct((-F.col("_size")).alias("order"), F.col("_h").alias("h"), _uniform(F.col("_h"), step).alias("u"), F.col("_p").alias("p"), F.col("_size").cast("double").alias("a"), *fields)
         folded = level.filter(open_row).groupBy("source", "_g").agg(F.sort_array(F.collect_list(item)).alias("_items"))
         folded = folded.withColumn("_out", _fold(F.transform("_items", lambda x: F.struct(x.u.alias("u"), x.p.alias("p"), x.a.alias("a")))))
         each = folded.select("source", "_g", F.explode(F.arrays_zip("_items", "_out")).alias("_x"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import mixing, quality_rules, sharding
+from loomgraph.llm import decontaminate, langid, mixing, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
+    "op8_language_id": langid.op8_language_id,
 }
 
 ORACLES = {
     "op1_sharding": sharding.OP1_SQL,
+    "op3_decontamination": decontaminate.OP3_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
 }

@@ -17,14 +17,24 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import load, seeded
 
 #: Rows that one range of hashes, or of fractional ranks, has on average.
-RANGE_ROWS = 8192
+RANGE_ROWS = 2048
+#: Ranges whose counts one window sums up.
+BLOCK_RANGES = 4096
 _HASH_BITS = 60
 
 
 def _offsets(counts: DataFrame, by: list[str], at: str) -> DataFrame:
-    """Adds to each range the rows of the ranges before it."""
-    w = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    """Adds to each range the rows of the ranges before it.
+
+    Sums run over blocks of ranges and, within a block, over its ranges, so no window
+    grows with the table but by one row in RANGE_ROWS * BLOCK_RANGES.
+    """
+    counts = counts.withColumn("_b", F.expr(f"{at} div {BLOCK_RANGES}"))
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_m")).withColumn("_m", F.coalesce(F.sum("_m").over(earlier), F.lit(0)))
+    inner = Window.partitionBy(*by, "_b").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.withColumn("_before", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
+    return sums.join(blocks, [*by, "_b"]).withColumn("_before", F.col("_before") + F.col("_m")).drop("_b", "_m")
 
 
 def interleave_shards(docs: DataFrame, shards: int, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
