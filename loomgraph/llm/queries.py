@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, langid, mixing, quality_rules, sharding, toxicity
+from loomgraph.llm import decontaminate, langid, mixing, ngram_join, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLES = {
     "op1_sharding": sharding.OP1_SQL,
     "op3_decontamination": decontaminate.OP3_SQL,
+    "op4_ngram_join": ngram_join.OP4_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
 }
