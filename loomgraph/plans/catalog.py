@@ -1,4 +1,436 @@
 """Named queries over the driver's tables, each with its SQL where SQL can express it."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions import text as T
+from loomgraph.operators import correlate as C
+from loomgraph.operators import graph as G
+from loomgraph.operators import inventory, resolve, spans, touches, traverse
+from loomgraph.operators import vectors as V
+from loomgraph.plans import adapters as A
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+SEEDS = (0, 1, 2)
+DEPTH = 3
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _verbs() -> str:
+    return "(VALUES " + ", ".join(f"('{v}', '{b}')" for v, b in T.VERB_BUCKETS.items()) + ") AS verbs(verb, bucket)"
+
+
+_SPLIT = r"list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({s}, '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH {A.FUNCTIONS}, s AS (SELECT id, name, CASE WHEN lower(name) = 'a' THEN 100 WHEN starts_with(lower(name), 'a') THEN 80 WHEN contains(lower(name), 'a') THEN 60
+  WHEN contains(lower(qualified_name), 'a') THEN 40 END - CASE WHEN is_toplevel THEN 15 ELSE 0 END AS score FROM functions)
+SELECT id, name, score FROM s WHERE score IS NOT NULL ORDER BY score DESC, id LIMIT 20""")
+def search_functions(spark: SparkSession, d: str) -> DataFrame:
+    return G.search_functions(A.functions(spark, d), "a").select("id", "name", "score")
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT p_brand || 'Get' || p_type FROM part UNION SELECT DISTINCT 'getHTTP' || p_name || 'URL2x' FROM part)
+SELECT name, array_to_string({_SPLIT.format(s='name')}, ' ') AS words FROM n""")
+def subword_split(spark: SparkSession, d: str) -> DataFrame:
+    p = A.load(spark, d, "part")
+    n = p.select(F.col("p_name").alias("name")).union(p.select(F.concat("p_brand", F.lit("Get"), "p_type"))).union(p.select(F.concat(F.lit("getHTTP"), "p_name", F.lit("URL2x")))).distinct()
+    return n.select("name", F.array_join(T.split_words(F.col("name")), " ").alias("words"))
+
+
+@query(f"""WITH w AS (SELECT e.event_id, event_type, {_SPLIT.format(s="CASE event_id % 4 WHEN 0 THEN 'fetchUser' WHEN 1 THEN 'save_order' WHEN 2 THEN 'HTTPServer' ELSE 'deleteAll' END || event_type")} AS ws FROM events e)
+SELECT coalesce(bucket, 'none') AS bucket, count(*) AS n FROM w LEFT JOIN {_verbs()} ON verb = ws[1] GROUP BY 1""")
+def verb_buckets(spark: SparkSession, d: str) -> DataFrame:
+    stem = F.element_at(F.array(*map(F.lit, ("fetchUser", "save_order", "HTTPServer", "deleteAll"))), (F.col("event_id") % 4 + 1).cast("int"))
+    e = A.load(spark, d, "events").select(T.bucket_for_name(F.concat(stem, "event_type")).alias("b"))
+    return e.groupBy(F.coalesce("b", F.lit("none")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {A.CALLS} SELECT idx, caller, callee, line FROM calls WHERE kind = 'internal' AND callee = 7 ORDER BY idx LIMIT 50")
+def get_callers(spark: SparkSession, d: str) -> DataFrame:
+    c = A.calls(spark, d).withColumn("ambiguous_with", F.array().cast("array<bigint>"))
+    return G.callers(c, 7).select("idx", "caller", "callee", "line")
+
+
+@query(f"WITH {A.CALLS} SELECT idx, callee, line, kind FROM calls WHERE caller = 7 ORDER BY idx LIMIT 100")
+def get_callees(spark: SparkSession, d: str) -> DataFrame:
+    return G.callees(A.calls(spark, d), 7).select("idx", "callee", "line", "kind")
+
+
+@query(f"WITH {A.CALLS} SELECT package, count(*) AS calls, count(DISTINCT caller) AS callers FROM calls WHERE kind = 'external' GROUP BY package ORDER BY calls DESC, package LIMIT 100")
+def list_packages(spark: SparkSession, d: str) -> DataFrame:
+    return G.list_packages(A.calls(spark, d))
+
+
+@query(f"WITH {A.CALLS} SELECT kind, count(*) AS n, count(*) FILTER (high AND kind = 'internal') AS sure FROM calls GROUP BY kind")
+def resolution_stats(spark: SparkSession, d: str) -> DataFrame:
+    return G.resolution_stats(A.calls(spark, d))
+
+
+@query(f"WITH {A.FUNCTIONS} SELECT language, count(*) AS n FROM functions GROUP BY language")
+def functions_by_language(spark: SparkSession, d: str) -> DataFrame:
+    return G.functions_by_language(A.functions(spark, d))
+
+
+@query(f"SELECT page_id, {A.NORMALIZE('url')} AS path FROM pages")
+def normalize_paths(spark: SparkSession, d: str) -> DataFrame:
+    return A.load(spark, d, "pages").select("page_id", T.normalize_path(F.col("url")).alias("path"))
+
+
+@query(f"WITH {A.ENDPOINTS} SELECT id, method, path_norm FROM endpoints WHERE method = 'GET' AND (contains(path_norm, 'en') OR contains(lower(path_raw), 'en')) ORDER BY id LIMIT 100")
+def list_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    return C.list_endpoints(A.endpoints(spark, d), method="get", path="en").select("id", "method", "path_norm")
+
+
+_EXACT = f"""pairs AS (SELECT c.id AS client_id, e.id AS endpoint_id, c.method <> 'ANY' AND e.method <> 'ANY' AND c.high AND e.high AS ok
+  FROM (SELECT *, {A.SEGS.format(p='path_norm')} AS s FROM clients) c JOIN (SELECT *, {A.SEGS.format(p='path_norm')} AS s FROM endpoints) e
+  ON len(c.s) = len(e.s) AND {A.UNIFY.format(a='c.s', b='e.s')} AND (c.method = e.method OR c.method = 'ANY' OR e.method = 'ANY')),
+matches AS (SELECT client_id, endpoint_id, ok AND count(*) OVER (PARTITION BY client_id) = 1 AS high FROM pairs)"""
+
+
+@query(f"WITH {A.ENDPOINTS}, {A.CLIENTS}, {_EXACT} SELECT client_id, endpoint_id, high FROM matches")
+def correlate_exact(spark: SparkSession, d: str) -> DataFrame:
+    return C.correlate_exact(A.clients(spark, d), A.endpoints(spark, d))
+
+
+@query(f"""WITH {A.ENDPOINTS}, {A.CLIENTS}, {_EXACT}, rest AS (SELECT *, {A.SEGS.format(p='path_norm')} AS s FROM clients WHERE id NOT IN (SELECT client_id FROM matches)),
+tails AS (SELECT id, method, strip, s[strip + 1:] AS s FROM (SELECT *, unnest(range(1, len(s))) AS strip FROM rest)),
+e AS (SELECT *, {A.SEGS.format(p='path_norm')} AS s FROM endpoints)
+SELECT t.id AS client_id, e.id AS endpoint_id, false AS high FROM tails t JOIN e ON len(t.s) = len(e.s) AND {A.UNIFY.format(a='t.s', b='e.s')} AND (t.method = e.method OR e.method = 'ANY')
+WHERE len(list_filter(e.s, lambda x: x <> '{{*}}')) >= 2 QUALIFY strip = min(strip) OVER (PARTITION BY t.id)""")
+def correlate_suffix(spark: SparkSession, d: str) -> DataFrame:
+    c, e = A.clients(spark, d), A.endpoints(spark, d)
+    return C.correlate_suffix(c, e, C.correlate_exact(c, e))
+
+
+@query("""WITH e AS (SELECT min(event_id) AS id, event_type AS op, user_id FROM events GROUP BY event_type, user_id),
+c AS (SELECT event_id AS id, event_type AS op, user_id, event_id % 3 <> 0 AS high FROM events WHERE event_id % 5 = 0)
+SELECT c.id AS client_id, e.id AS endpoint_id, c.high AND count(*) OVER (PARTITION BY c.id) = 1 AS high FROM c JOIN e ON c.op || '/' || c.user_id = e.op || '/' || e.user_id""")
+def correlate_rpc(spark: SparkSession, d: str) -> DataFrame:
+    ev = A.load(spark, d, "events").withColumn("path_norm", F.concat_ws("/", "event_type", F.col("user_id").cast("string")))
+    e = ev.groupBy("path_norm").agg(F.min("event_id").alias("id")).select("id", F.lit("rpc").alias("kind"), "path_norm", F.lit(True).alias("high"))
+    c = ev.filter("event_id % 5 = 0").select(F.col("event_id").alias("id"), F.lit("rpc").alias("kind"), "path_norm", (F.col("event_id") % 3 != 0).alias("high"))
+    return C.correlate_rpc(c, e)
+
+
+@query(f"WITH {A.ENDPOINTS}, {A.CLIENTS}, {_EXACT} SELECT id, path_norm FROM endpoints WHERE id NOT IN (SELECT endpoint_id FROM matches)")
+def unreferenced_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    e = A.endpoints(spark, d)
+    return C.unreferenced_endpoints(e, C.correlate_exact(A.clients(spark, d), e)).select("id", "path_norm")
+
+
+@query(f"WITH {A.ENDPOINTS}, {A.CLIENTS}, {_EXACT} SELECT id, path_norm FROM clients WHERE id NOT IN (SELECT client_id FROM matches)")
+def client_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    c = A.clients(spark, d)
+    return C.client_calls(c, C.correlate_exact(c, A.endpoints(spark, d)), unmatched=True).select("id", "path_norm")
+
+
+@query(f"""WITH {A.ENDPOINTS}, {A.CLIENTS}, {_EXACT}, e AS (SELECT *, {A.SEGS.format(p='path_norm')} AS s FROM endpoints)
+SELECT e.id, e.path_norm, m.client_id, m.high AS match_high FROM e LEFT JOIN matches m ON m.endpoint_id = e.id
+WHERE len(s) = 2 AND (s[1] = 'en' OR s[1] = '{{*}}')""")
+def find_endpoint_callers(spark: SparkSession, d: str) -> DataFrame:
+    e = A.endpoints(spark, d)
+    m = C.correlate_exact(A.clients(spark, d), e)
+    return C.find_endpoint_callers(e, m, "/en/:page").select("id", "path_norm", "client_id", "match_high")
+
+
+_LADDER = f"""WITH {A.FUNCTIONS}, c AS (SELECT l_orderkey * 8 + l_linenumber AS idx, f.name, f.language, f.file_id, f.containing_type FROM lineitem JOIN functions f ON f.id = l_partkey WHERE l_linenumber = 1),
+g AS (SELECT * FROM functions WHERE NOT is_toplevel),
+r AS (SELECT c.idx, 5 AS rung, g.id FROM c JOIN g ON g.name = c.name AND g.file_id = c.file_id UNION ALL
+  SELECT c.idx, 7, g.id FROM c JOIN g ON g.name = c.name AND g.containing_type = c.containing_type UNION ALL
+  SELECT c.idx, 9, g.id FROM c JOIN g ON g.name = c.name AND g.language = c.language),
+b AS (SELECT idx, min(rung) AS rung FROM r GROUP BY idx),
+k AS (SELECT idx, rung, list(id ORDER BY id) AS ids FROM r JOIN b USING (idx, rung) GROUP BY idx, rung)
+SELECT idx, CAST(rung AS INTEGER) AS rung, ids[1] AS callee, array_to_string(ids[2:9], ',') AS rivals, CASE WHEN rung = 9 THEN len(ids) = 1 ELSE true END AS high FROM k"""
+
+
+@query(_LADDER)
+def resolve_ladder(spark: SparkSession, d: str) -> DataFrame:
+    f = A.functions(spark, d)
+    item = A.load(spark, d, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") * 8 + 1).alias("idx"), F.col("l_partkey").alias("id"))
+    c = item.join(f.select("id", "name", "language", "file_id", "containing_type"), "id")
+    g = f.filter(~F.col("is_toplevel"))
+    rungs = []
+    for rung, scope in ((5, "file_id"), (7, "containing_type"), (9, "language")):
+        few = resolve._candidates(g, [scope])
+        rungs.append(c.join(few, ["name", scope]).select("idx", F.lit(rung).alias("rung"), "ids", (F.lit(rung < 9) | (F.col("n") == 1)).alias("high")))
+    best = rungs[0].unionByName(rungs[1]).unionByName(rungs[2]).groupBy("idx").agg(F.min(F.struct("rung", "ids", "high")).alias("m"))
+    return best.select("idx", "m.rung", F.col("m.ids")[0].alias("callee"), F.array_join(F.slice("m.ids", 2, 8), ",").alias("rivals"), "m.high")
+
+
+@query("SELECT o_custkey AS owner, o_orderstatus AS name, min(o_orderpriority) AS type_name FROM orders GROUP BY 1, 2 HAVING count(DISTINCT o_orderpriority) = 1")
+def field_types(spark: SparkSession, d: str) -> DataFrame:
+    o = A.load(spark, d, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("type_name"))
+    return G.field_types(o)
+
+
+@query("""WITH s AS (SELECT conv_id, min(turn) AS a, max(turn) AS b, conv_id % 4 AS width FROM conversations GROUP BY conv_id),
+sp AS (SELECT conv_id, a + i AS "start", least(b, a + i + 1 + width) AS "end", conv_id * 100 + i AS id FROM (SELECT *, unnest(range(0, b - a + 1)) AS i FROM s))
+SELECT c.conv_id, c.turn, sp.id AS span_id FROM conversations c LEFT JOIN sp ON sp.conv_id = c.conv_id AND sp."start" <= c.turn AND c.turn <= sp."end"
+QUALIFY row_number() OVER (PARTITION BY c.conv_id, c.turn ORDER BY sp."end" - sp."start", sp.id) = 1""")
+def innermost_span(spark: SparkSession, d: str) -> DataFrame:
+    c = A.load(spark, d, "conversations")
+    s = c.groupBy("conv_id").agg(F.min("turn").alias("a"), F.max("turn").alias("b"))
+    s = s.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - F.col("a"))))
+    s = s.select("conv_id", (F.col("a") + F.col("i")).alias("start"), F.least("b", F.col("a") + F.col("i") + 1 + F.col("conv_id") % 4).alias("end"), (F.col("conv_id") * 100 + F.col("i")).alias("id"))
+    return spans.innermost(c.select("conv_id", "turn"), s, ["conv_id"], "turn", "turn", block=8).dropDuplicates(["conv_id", "turn"]).select("conv_id", "turn", "span_id")
+
+
+@query("""SELECT n.n_name AS type_name, c_custkey AS method, 0 AS hop FROM nation n JOIN customer ON c_nationkey = n_nationkey UNION
+SELECT r_name, c_custkey, 1 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey""")
+def type_expansion(spark: SparkSession, d: str) -> DataFrame:
+    n, r, c = (A.load(spark, d, t) for t in ("nation", "region", "customer"))
+    types = n.select(F.col("n_name").alias("type_name")).union(r.select("r_name"))
+    methods = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("containing_type"))
+    bindings = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("base"), F.col("n_name").alias("derived"))
+    return G.type_expansion(types, methods, bindings)
+
+
+_DEAD = f"""WITH {A.FUNCTIONS}, {A.CALLS}, alive AS (SELECT DISTINCT f.name FROM calls c JOIN functions f ON f.id = c.callee WHERE c.l_linenumber = 1 AND c.kind = 'internal' AND c.callee % 3 = 0),
+u AS (SELECT *, CASE WHEN has_decorations THEN 'decorated' WHEN name = 'main' THEN 'main' WHEN regexp_matches(name, '^(on|handle)[\\p{{Lu}}_]') THEN 'callback_convention'
+  WHEN starts_with(name, 'test_') OR starts_with(name, 'Test') OR ends_with(name, '_test') THEN 'test_convention' END AS reason FROM functions WHERE NOT is_toplevel AND name NOT IN (SELECT name FROM alive))"""
+
+
+def _dead(spark: SparkSession, d: str) -> DataFrame:
+    f = A.functions(spark, d)
+    used = A.calls(spark, d).filter("l_linenumber = 1 and kind = 'internal' and callee % 3 = 0").join(f.select(F.col("id").alias("callee"), "name"), "callee")
+    return G.unreferenced_functions(f, used, used.limit(0))
+
+
+@query(_DEAD + " SELECT id, name, reason, CASE WHEN reason IS NOT NULL THEN 'excluded' WHEN is_exported THEN 'public' ELSE 'strong' END AS class FROM u")
+def dead_code(spark: SparkSession, d: str) -> DataFrame:
+    return _dead(spark, d).select("id", "name", "reason", "class")
+
+
+@query(_DEAD + " SELECT reason, count(*) AS n FROM u WHERE reason IS NOT NULL GROUP BY reason")
+def dead_code_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return G.excluded_counts(_dead(spark, d))
+
+
+@query(f"WITH {A.BAGS} SELECT feature, count(*) AS df FROM bags GROUP BY feature HAVING count(*) >= 2")
+def doc_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return V.doc_frequency(A.bags(spark, d))
+
+
+_WEIGHTS = f"""{A.BAGS}, df AS (SELECT feature, count(*) AS df FROM bags GROUP BY feature HAVING count(*) >= 2), n AS (SELECT count(DISTINCT fn_id) AS n FROM bags),
+weights AS (SELECT fn_id, feature, (1 + ln(tf)) * (ln((n + 1.0) / (coalesce(df, 1) + 1.0)) + 1) AS weight FROM bags LEFT JOIN df USING (feature), n)"""
+
+
+@query(f"WITH {_WEIGHTS} SELECT fn_id, feature, round(weight, 6) AS weight FROM weights WHERE fn_id % 20 = 0")
+def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
+    b = A.bags(spark, d)
+    n = b.select("fn_id").distinct().count()
+    return V.tfidf(b, V.doc_frequency(b), n).filter("fn_id % 20 = 0").withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""WITH {_WEIGHTS}, h AS (SELECT fn_id, weight, CAST(('0x' || substr(md5(feature), 1, 8)) AS BIGINT) AS h FROM weights),
+s AS (SELECT fn_id, h % 256 AS dim, sum(CASE WHEN h >= 2147483648 THEN -weight ELSE weight END) AS v FROM h GROUP BY 1, 2)
+SELECT fn_id, dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY fn_id)), 6) AS value FROM s""")
+def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    b = A.bags(spark, d)
+    n = b.select("fn_id").distinct().count()
+    return V.hashed_vectors(V.tfidf(b, V.doc_frequency(b), n), portable=True).withColumn("value", F.round("value", 6) + 0.0)
+
+
+_UNIT = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings"
+
+
+@query(f"""WITH v AS ({_UNIT}), q AS (SELECT v AS q FROM v WHERE vec_id = 0)
+SELECT vec_id, round(list_inner_product(v, q), 6) AS score FROM v, q WHERE vec_id <> 0 AND list_inner_product(v, q) > 0 ORDER BY list_inner_product(v, q) DESC, vec_id LIMIT 10""")
+def similar_topk(spark: SparkSession, d: str) -> DataFrame:
+    e = A.load(spark, d, "embeddings")
+    q = e.filter("vec_id = 0").select("embedding").first()[0]
+    return V.top_k(e, q, 10, exclude=0, key="vec_id", column="embedding").withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH v AS ({_UNIT}), h AS (SELECT vec_id, v[1:48] AS a, v[49:64] AS b FROM v),
+n AS (SELECT vec_id, list_transform(a, lambda x: x / sqrt(list_inner_product(a, a))) AS a, list_transform(b, lambda x: x / sqrt(list_inner_product(b, b))) AS b FROM h),
+q AS (SELECT a AS qa, b AS qb FROM n WHERE vec_id = 0), s AS (SELECT vec_id, 0.6 * list_inner_product(a, qa) + 0.4 * list_inner_product(b, qb) AS score FROM n, q WHERE vec_id <> 0)
+SELECT vec_id AS fn_id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, vec_id LIMIT 10""")
+def similar_blend(spark: SparkSession, d: str) -> DataFrame:
+    e = A.load(spark, d, "embeddings").select(F.col("vec_id").alias("fn_id"), F.slice("embedding", 1, 48).alias("a"), F.slice("embedding", 49, 16).alias("b"))
+    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(V.dot(F.col(c), F.col(c))))
+    a, b = e.select("fn_id", unit("a").alias("vector")), e.select("fn_id", unit("b").alias("vector"))
+    q = [x.filter("fn_id = 0").select("vector").first()[0] for x in (a, b)]
+    return V.top_k_blend(a, b, (q[0], q[1]), 10, exclude=0).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH v AS ({_UNIT}), p AS (SELECT a.vec_id AS fn_id, b.vec_id AS other, list_inner_product(a.v, b.v) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+SELECT fn_id, other, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY fn_id ORDER BY score DESC, other) AS INTEGER) AS rank FROM p WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY fn_id ORDER BY p.score DESC, other) <= 5""")
+def nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    e = A.load(spark, d, "embeddings").select(F.col("vec_id").alias("fn_id"), F.col("embedding").alias("vector"))
+    return V.neighbours(e).withColumn("score", F.round("score", 6))
+
+
+@query()
+def pca_3d(spark: SparkSession, d: str) -> DataFrame:
+    return V.pca_3d(A.load(spark, d, "embeddings"), key="vec_id", column="embedding")
+
+
+@query()
+def structural_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return V.structural_vectors(A.bags(spark, d))
+
+
+@query()
+def semantic_vectors(spark: SparkSession, d: str) -> DataFrame:
+    f = A.functions(spark, d).select(F.col("id").alias("fn_id"), F.explode(F.array(F.concat(F.lit("id:"), "name"), F.concat(F.lit("ty:"), "containing_type"))).alias("feature"), F.lit(1).cast("long").alias("tf"))
+    return V.semantic_vectors(V.augment_bags(f))
+
+
+_IN_CALLS = "e AS (SELECT DISTINCT caller, callee FROM sparse JOIN functions f ON f.id = sparse.callee WHERE NOT f.is_toplevel AND caller % 10 < 5)"
+
+
+@query(f"""WITH {A.FUNCTIONS}, {A.SPARSE}, {_IN_CALLS}, f AS (SELECT * FROM functions WHERE NOT is_toplevel), l0 AS (SELECT id AS root, id AS at FROM f),
+l1 AS (SELECT DISTINCT root, callee AS at FROM l0 JOIN e ON caller = l0.at EXCEPT SELECT * FROM l0),
+l2 AS (SELECT DISTINCT root, callee AS at FROM l1 JOIN e ON caller = l1.at EXCEPT (SELECT * FROM l0 UNION SELECT * FROM l1)),
+l3 AS (SELECT DISTINCT root, callee AS at FROM l2 JOIN e ON caller = l2.at EXCEPT (SELECT * FROM l0 UNION SELECT * FROM l1 UNION SELECT * FROM l2)),
+r AS (SELECT root, l1.at AS at, 4 AS w FROM l1 UNION ALL SELECT root, l2.at, 2 FROM l2 UNION ALL SELECT root, l3.at, 1 FROM l3)
+SELECT root AS fn_id, 'eff:' || name AS feature, CAST(sum(w) AS BIGINT) AS tf FROM r JOIN f ON f.id = r.at GROUP BY 1, 2""")
+def effect_features(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.effect_features(A.functions(spark, d), A.sparse_calls(spark, d).filter("caller % 10 < 5"), fan=None)
+
+
+_BLAST = f"""WITH RECURSIVE {A.SPARSE}, reach(id, depth, high) AS (
+  SELECT range, 0, true FROM range(3) UNION
+  SELECT s.caller, r.depth + 1, r.high AND s.high FROM reach r JOIN sparse s ON s.callee = r.id WHERE r.depth < {DEPTH}),
+best AS (SELECT id, max(high) AS high FROM reach WHERE id >= 3 GROUP BY id),
+impacted AS (SELECT id, CAST(min(depth) AS INTEGER) AS depth, high FROM reach JOIN best USING (id, high) GROUP BY id, high)"""
+
+
+def _impact(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.blast_radius(traverse.reverse_edges(A.sparse_calls(spark, d)), SEEDS, DEPTH)
+
+
+@query(_BLAST + " SELECT id, depth, high FROM impacted")
+def blast_radius(spark: SparkSession, d: str) -> DataFrame:
+    return _impact(spark, d).select("id", "depth", "high")
+
+
+@query(_BLAST + " SELECT depth, count(*) AS n FROM impacted GROUP BY depth")
+def blast_by_depth(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.by_depth(_impact(spark, d))
+
+
+@query(_BLAST.replace("RECURSIVE ", f"RECURSIVE {A.FUNCTIONS}, ") + " SELECT id, depth, high FROM (SELECT id, depth, high FROM impacted UNION ALL SELECT range, 0, true FROM range(3)) WHERE id IN (SELECT id FROM functions WHERE is_test)")
+def affected_tests(spark: SparkSession, d: str) -> DataFrame:
+    seeds = spark.createDataFrame([(s,) for s in SEEDS], "id bigint")
+    return traverse.affected_tests(A.functions(spark, d), _impact(spark, d), seeds)
+
+
+@query(f"""WITH RECURSIVE {A.SPARSE}, walk(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT callee, depth + 1 FROM walk JOIN sparse ON caller = id WHERE depth < 6)
+SELECT min(depth) AS steps FROM walk WHERE id = 42""")
+def call_path_length(spark: SparkSession, d: str) -> DataFrame:
+    p = traverse.call_path(A.sparse_calls(spark, d), 0, 42, 6)
+    return p.agg(F.when(F.count("*") > 0, F.count("*").cast("int")).alias("steps"))
+
+
+@query()
+def call_path(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.call_path(A.sparse_calls(spark, d), 0, 42, 6)
+
+
+_RING = """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, ts FROM events"""
+
+
+@query(f"SELECT event_id, user_id FROM ({_RING}) WHERE r <= 10 ORDER BY ts DESC, event_id DESC LIMIT 250")
+def touch_ring(spark: SparkSession, d: str) -> DataFrame:
+    e = A.load(spark, d, "events").select("event_id", "user_id", "ts")
+    return touches.trim_single(e, "user_id", ("ts", "event_id")).select("event_id", "user_id")
+
+
+@query(f"SELECT event_id FROM (SELECT event_id, user_id, ts FROM ({_RING}) WHERE r <= 10 ORDER BY ts DESC, event_id DESC LIMIT 250) WHERE user_id = 3 ORDER BY ts DESC LIMIT 10")
+def recent_touches(spark: SparkSession, d: str) -> DataFrame:
+    e = A.load(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"), "ts")
+    ring = touches.trim_single(e, "user_id", ("ts", "event_id")).withColumn("files", F.array("user_id"))
+    return touches.recent(ring, "3").select("event_id")
+
+
+@query()
+def touch_replay(spark: SparkSession, d: str) -> DataFrame:
+    e = A.load(spark, d, "events")
+    files = F.array(F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string")), F.concat(F.lit("g"), (F.col("event_id") % 7).cast("string")))
+    rows = e.select((F.col("user_id") % 3).alias("project"), F.unix_timestamp("ts").alias("ts"), F.col("event_id").alias("seq"), files.alias("files"), F.col("props").alias("why"), F.col("event_type").alias("agent"))
+    return touches.replay_history(rows)
+
+
+@query(f"WITH {A.FUNCTIONS} SELECT language AS framework, count(*) AS n FROM functions WHERE is_test GROUP BY language")
+def test_inventory(spark: SparkSession, d: str) -> DataFrame:
+    cases = A.functions(spark, d).filter("is_test").withColumn("framework", F.col("language"))
+    return inventory.frameworks(cases)
+
+
+@query(f"WITH {A.FUNCTIONS} SELECT id, file_id, start_line AS line FROM functions WHERE is_test AND contains(lower(name), 'e') ORDER BY file_id, start_line, id LIMIT 200")
+def list_tests(spark: SparkSession, d: str) -> DataFrame:
+    cases = A.functions(spark, d).filter("is_test").withColumns({"kind": F.lit("case"), "line": F.col("start_line")})
+    return inventory.list_tests(cases, name="E").select("id", "file_id", "line")
+
+
+@query("SELECT string_split(regexp_extract(url, '://(.*)$', 1), '/')[1] AS service, count(*) AS files FROM pages GROUP BY 1")
+def service_stats(spark: SparkSession, d: str) -> DataFrame:
+    return G.service_stats(A.load(spark, d, "pages").select(F.regexp_extract("url", "://(.*)$", 1).alias("path")))
+
+
+@query("SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0) AND doc_id % 2 = 1")
+def incremental_scan(spark: SparkSession, d: str) -> DataFrame:
+    docs = A.load(spark, d, "documents").select("doc_id", F.md5("text").alias("content_hash"))
+    cache = docs.filter("doc_id % 2 = 0").select("content_hash").distinct()
+    return docs.filter("doc_id % 2 = 1").join(cache, "content_hash", "left_anti").select("doc_id")
+
+
+@query("""WITH n AS (SELECT c_custkey AS id, c_mktsegment AS method, 'N' || c_nationkey AS module, 'A' || (c_custkey % 7) AS alias FROM customer WHERE c_custkey < 300),
+c AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'AUTOMOBILE' END AS method, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'N' || (o_custkey % 25) ELSE 'A' || (o_custkey % 7) END AS module, o_orderstatus = 'F' AS high FROM orders WHERE o_orderkey < 2000)
+SELECT c.id AS call_id, n.id AS native_id, c.high AND count(*) OVER (PARTITION BY c.id) = 1 AS high FROM c JOIN n ON c.method = n.method AND (c.module IS NULL OR c.module = n.module OR c.module = n.alias)""")
+def bridge_map(spark: SparkSession, d: str) -> DataFrame:
+    c, o = A.load(spark, d, "customer"), A.load(spark, d, "orders")
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    n = c.filter("c_custkey < 300").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("method"), text("N", F.col("c_nationkey")).alias("module"), text("A", F.col("c_custkey") % 7).alias("alias"))
+    k = F.col("o_orderkey")
+    method = F.when(k % 5 == 0, "BUILDING").when(k % 5 == 1, "MACHINERY").otherwise("AUTOMOBILE")
+    module = F.when(k % 3 == 1, text("N", F.col("o_custkey") % 25)).when(k % 3 == 2, text("A", F.col("o_custkey") % 7))
+    calls = o.filter("o_orderkey < 2000").select(k.alias("id"), method.alias("method"), module.alias("module"), (F.col("o_orderstatus") == "F").alias("high"))
+    return C.bridge_matches(calls, n)
+
+
+@query("""SELECT d.doc_id, coalesce(l.quality = 1, d.doc_id % 2 = 0) AS high, CASE WHEN l.quality = 0 THEN 'external' ELSE 'internal' END AS kind FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def lsp_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = A.load(spark, d, "documents"), A.load(spark, d, "labels")
+    j = docs.join(labels, "doc_id", "left")
+    return j.select("doc_id", F.coalesce(F.col("quality") == 1, F.col("doc_id") % 2 == 0).alias("high"), F.when(F.col("quality") == 0, "external").otherwise("internal").alias("kind"))
+
+
+@query("""SELECT 100 + n_nationkey AS id, CASE WHEN r_regionkey IS NULL OR n_nationkey % 9 = 8 THEN '/{*}/' || lower(n_name) ELSE '/' || lower(r_name) || '/' || lower(n_name) END AS path FROM nation LEFT JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT r_regionkey, '/' || lower(r_name) FROM region""")
+def rest_path_chain(spark: SparkSession, d: str) -> DataFrame:
+    n, r = A.load(spark, d, "nation"), A.load(spark, d, "region")
+    parent = F.when(F.col("n_nationkey") % 9 == 8, -1).otherwise(F.col("n_regionkey"))
+    rows = n.select((F.col("n_nationkey") + 100).alias("id"), parent.alias("parent"), F.lower("n_name").alias("part"))
+    rows = rows.unionByName(r.select(F.col("r_regionkey").alias("id"), F.lit(None).cast("int").alias("parent"), F.lower("r_name").alias("part")))
+    return C.rest_paths(rows).select("id", "path")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS id, o_orderkey FROM orders")
+def dense_ids(spark: SparkSession, d: str) -> DataFrame:
+    return G.assign_ids(A.load(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"]).select("id", "o_orderkey")
+
+
+@query(f"WITH {A.FUNCTIONS}, {A.CALLS}, ends AS (SELECT caller AS id FROM calls WHERE kind = 'internal' UNION ALL SELECT callee FROM calls WHERE kind = 'internal'), g AS (SELECT f.id, count(e.id) AS degree FROM functions f LEFT JOIN ends e USING (id) GROUP BY f.id) SELECT id, degree FROM g ORDER BY degree DESC, id LIMIT 50")
+def top_degree(spark: SparkSession, d: str) -> DataFrame:
+    return G.top_by_degree(A.functions(spark, d), A.calls(spark, d), 50).select("id", "degree")
+
+
