@@ -117,17 +117,21 @@ def _shared(grams: np.ndarray) -> np.ndarray:
 
 
 class Ratio:
-    """log P(toxic) - log P(ordinary) of n-grams, by an open table of slots."""
+    """log P(toxic) - log P(ordinary) of n-grams for several models at once, by open tables.
+
+    ``toxic`` and ``ordinary`` hold the counts, a row per n-gram and a column per model.
+    """
 
     def __init__(self, grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
         ctx, at = np.unique(grams >> SYMBOL_BITS, return_inverse=True)
-        shared, logs, rest = _shared(grams), [], []
-        for c in (toxic, ordinary):
-            total, kinds = np.bincount(at, c), np.bincount(at, c > 0)
-            back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            own = np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1)[at]
-            logs.append(np.log(own + back[at] * shared))
-            rest.append(np.log(back))
+        shared, self.models = _shared(grams), toxic.shape[1]
+        logs, rest = np.zeros((2, len(grams), self.models)), np.zeros((2, len(ctx), self.models))
+        for m in range(self.models):
+            for k, c in enumerate((toxic[:, m], ordinary[:, m])):
+                total, kinds = np.bincount(at, c), np.bincount(at, c > 0)
+                back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+                own = np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1)[at]
+                logs[k, :, m], rest[k, :, m] = np.log(own + back[at] * shared), np.log(back)
         self.gram = self._table(grams, logs[0] - logs[1])
         self.context = self._table(ctx, rest[0] - rest[1])
 
@@ -142,55 +146,60 @@ class Ratio:
     def _table(keys: np.ndarray, values: np.ndarray):
         """An open table, a quarter full at most; a taken slot passes a key on to the next."""
         bits = max(10, int(4 * max(len(keys), 1)).bit_length())
-        held, table = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+        held, row = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
         left, slot = np.arange(len(keys)), Ratio._slots(keys, bits)
         while len(left):
             free = held[slot] < 0
             held[slot[free]] = keys[left[free]]
             mine = held[slot] == keys[left]
-            table[slot[mine]] = values[left[mine]]
+            row[slot[mine]] = left[mine]
             left, slot = left[~mine], (slot[~mine] + 1) & ((1 << bits) - 1)
-        return bits, held, table
+        return bits, held, row, np.vstack((values, np.zeros((1, values.shape[1])))).astype(np.float32)
 
     @staticmethod
-    def _get(table, keys: np.ndarray):
-        """(values, whether the key is there)."""
-        bits, held, values = table
+    def _rows(table, keys: np.ndarray) -> np.ndarray:
+        """The row of values of each key; -1, the row of zeros, if it is not there."""
+        bits, held, row, _ = table
         slot = Ratio._slots(keys, bits)
-        out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
-        left = np.arange(len(keys))
+        at = held[slot]
+        out = np.where(at == keys, row[slot], -1)
+        left = np.flatnonzero((at != keys) & (at >= 0))
+        slot = slot[left]
         while len(left):
+            slot = (slot + 1) & ((1 << bits) - 1)
             at = held[slot]
             hit = at == keys[left]
-            out[left[hit]], found[left[hit]] = values[slot[hit]], True
+            out[left[hit]] = row[slot[hit]]
             on = ~hit & (at >= 0)
-            left, slot = left[on], (slot[on] + 1) & ((1 << bits) - 1)
-        return out, found
+            left, slot = left[on], slot[on]
+        return out
 
     def words(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The ratio of each word."""
+        """The ratio of each word (rows) under each model."""
         if len(starts) == 0:
-            return np.zeros(0)
-        v, known = self._get(self.gram, codes)
-        ctx, seen = self._get(self.context, codes >> SYMBOL_BITS)
-        return np.add.reduceat(np.where(known, v, np.where(seen, ctx, 0)).astype(np.float64), starts)
+            return np.zeros((0, self.models))
+        rows = self._rows(self.gram, codes)
+        v = self.gram[3][rows]
+        new = np.flatnonzero(rows < 0)
+        v[new] = self.context[3][self._rows(self.context, codes[new] >> SYMBOL_BITS)]
+        return np.add.reduceat(v.astype(np.float64), starts, axis=0)
 
 
 def _features(ratio: Ratio, texts: list) -> np.ndarray:
     """Mean ratio a word of each text, and of its strongest passage of each length; 0 without words."""
-    out = np.zeros((len(texts), _N))
+    out = np.zeros((len(texts), _N, ratio.models))
     for low, run in _chunks(texts):
         code, starts, n = gram_codes(run)
         w = ratio.words(code, starts)
         first = np.cumsum(n) - n
         for i in np.flatnonzero(n):
             x = w[first[i] : first[i] + n[i]]
-            sums = np.concatenate(([0.0], np.cumsum(x)))
+            sums = np.concatenate((np.zeros((1, ratio.models)), np.cumsum(x, axis=0)))
             out[low + i, 0] = sums[-1] / len(x)
             for j, p in enumerate(PASSAGES, 1):
                 k = min(p, len(x))
-                out[low + i, j] = (sums[k:] - sums[:-k]).max() / p
-    return out
+                out[low + i, j] = (sums[k:] - sums[:-k]).max(0) / p
+    return out.transpose(0, 2, 1).reshape(len(texts), -1)
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,20 +231,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from=None, key: str
     fold = F.pmod(F.xxhash64("_k"), F.lit(2)).cast("int")
     marks = marks.withColumn("fold", fold)
     body = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("text"))
-    counts = count_grams(body.join(marks, "_k"))
+    counts = count_grams(body.join(marks.hint("shuffle_hash"), "_k"))
     counts = materialize(counts)
     n = counts.count()
     kept = counts if n <= MAX_GRAMS else counts.orderBy(F.desc(F.expr("c0 + c1 + c2 + c3")), "gram").limit(MAX_GRAMS)
     table = kept.toPandas().sort_values("gram")
     grams, c = table["gram"].to_numpy(np.int64), table[["c0", "c1", "c2", "c3"]].to_numpy(np.float64)
     # Models of fold 0, of fold 1 and of both.
-    pairs = [(c[:, 1], c[:, 0]), (c[:, 3], c[:, 2]), (c[:, 1] + c[:, 3], c[:, 0] + c[:, 2])]
-    model = docs.sparkSession.sparkContext.broadcast([Ratio(grams[(t + o) > 0], t[(t + o) > 0], o[(t + o) > 0]) for t, o in pairs])
+    toxic, ordinary = np.column_stack((c[:, 1], c[:, 3], c[:, 1] + c[:, 3])), np.column_stack((c[:, 0], c[:, 2], c[:, 0] + c[:, 2]))
+    model = docs.sparkSession.sparkContext.broadcast(Ratio(grams, toxic, ordinary))
 
     @F.pandas_udf("array<double>")
     def features(texts: pd.Series) -> pd.Series:
-        every = texts.tolist()
-        return pd.Series(list(np.round(np.hstack([_features(r, every) for r in model.value]), 6)))
+        return pd.Series(list(np.round(_features(model.value, texts.tolist()), 6)))
 
     scored = materialize(body.select("_k", features("text").alias("f")))
     other = F.when(F.col("fold") == 0, F.slice("f", _N + 1, _N)).otherwise(F.slice("f", 1, _N))
