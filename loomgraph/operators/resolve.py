@@ -119,7 +119,7 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame, fi
     three is sure even with several hits: the same directory never is, the whole language or tree only if
     one function bears the name, types only through one step.
     """
-    f = functions.filter(~F.col("is_toplevel")).join(files.select(F.col("id").alias("file_id"), "path", "package"), "file_id").withColumn("dir", T.parent_dir(F.col("path")))
+    f = functions.filter(~F.col("is_toplevel")).select("id", "name", "containing_type", "file_id", "language").join(files.select(F.col("id").alias("file_id"), "path", "package"), "file_id").withColumn("dir", T.parent_dir(F.col("path")))
     f = f.select("id", "name", "containing_type", "file_id", "language", "package", "dir")
     of_caller = functions.select(F.col("id").alias("caller"), "file_id", "language", F.col("containing_type").alias("own_type")).join(files.select(F.col("id").alias("file_id"), "path", "package"), "file_id")
     c = calls.select("idx", "caller", "name", "receiver").join(of_caller, "caller").withColumn("dir", T.parent_dir(F.col("path")))
