@@ -30,7 +30,9 @@ from loomgraph.llm.textkit import BLANKS, batches, mix, shingle_hashes, word_has
 
 SHINGLE, PERCENT = 4, 85
 #: Bytes of text whose shingles one hash range collects, and tokens that one batch packs.
-RANGE_BYTES, BATCH_TOKENS = 24 << 20, 2_000_000
+RANGE_BYTES, BATCH_TOKENS = 12 << 20, 1_000_000
+#: Ranges at least, so that a document's shingles are spread alike over them at small sizes.
+MIN_RANGES = 64
 #: Documents of a chunk; a cell compares two chunks at most.
 CHUNK_DOCS, CHUNK_SHINGLES = 512, 2_000_000
 #: Weight of a binary probe against a merge step, DivideSkip's parameter.
@@ -293,15 +295,15 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     profiles = materialize(_profiles(rows, size))
     some = rows.filter("k is not null")
     volume = some.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    ranges, bits = max(1, -(-volume // RANGE_BYTES)), min(60, max(40, volume.bit_length() + 10))
+    ranges, bits = max(MIN_RANGES, -(-volume // RANGE_BYTES)), min(60, max(40, volume.bit_length() + 10))
     shared = _shared_counts(some, size, ranges, bits)
     able = materialize(profiles.filter("n > 0").join(shared, "k").filter(f"100 * shared >= {percent} * n").select("k", "n", "d1", "d2"))
     classes = able.groupBy("n", "d1", "d2").agg(F.min("k").alias("rep"), F.count("*").alias("copies"))
     member = materialize(able.join(classes, ["n", "d1", "d2"]).select("k", "rep", "copies"))
     reps = member.filter("k = rep").select("k", "copies").groupBy("k").agg(F.max("copies").alias("copies"))
-    reps = materialize(some.join(reps, "k"))
+    reps = materialize(some.join(reps.hint("shuffle_hash"), "k"))
     blocks = _blocks(reps, size, percent).withColumnRenamed("node", "k").withColumnRenamed("component", "block")
-    placed = reps.join(blocks, "k")
+    placed = reps.join(blocks.hint("shuffle_hash"), "k")
     words_of = F.octet_length("t") / 6
     sizes = placed.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum(words_of) / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     placed = placed.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int"))
