@@ -75,7 +75,7 @@ class ItemIndex:
         for c in sorted(self.classes):
             if c < 0:
                 if len(words) < self.size:
-                    self._probe(c, _minhash(s[None, :]), found)
+                    self._probe(c, np.array([[mix_one(s, f).min()] for f in _FACTORS]), found)
                 continue
             block = 1 << c
             if c - 1 in low:  # two blocks make one of the next class

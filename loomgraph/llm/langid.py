@@ -24,8 +24,8 @@ DIMS, GRAM, SEED = 1024, 3, 5
 MAX_LANGUAGES = 8192
 #: Documents bundled at once.
 BLOCK = 128
-#: N-gram vectors a worker keeps, 64 MB; beyond that it starts anew.
-KEPT_GRAMS = 1 << 16
+#: N-gram vectors a worker keeps, 32 MB; beyond that it starts anew.
+KEPT_GRAMS = 1 << 15
 UNKNOWN = "und"
 
 
@@ -120,7 +120,8 @@ def learn_prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", di
                 for i, name in enumerate(names):
                     sums[name] = sums.get(name, 0) + v[at == i].sum(0, dtype=np.float64)
         # Rounded to a fixed grid, so that sums do not depend on the order of tasks.
-        yield pd.DataFrame({"lang": list(sums), "v": [np.round(x * 2**20).astype(np.int64) for x in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [np.round(x * 2**20).astype(np.int64) for x in sums.values()]})
 
     rows = docs.filter(F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     parts = rows.mapInPandas(partial, "lang string, v array<bigint>")

@@ -1,0 +1,438 @@
+"""Small tests of the training-data operators: laws, brute force, and odd rows."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomgraph.llm import common, cotraining, decontaminate, langid, mixing, ngram_join, quality_rules, sharding, textkit, token_counts, toxicity, warc
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, extra string"
+ODD = [
+    (1, None, "en", "a", None, "x"),
+    (2, "", None, "a", 0, "x"),
+    (3, " \n\t ", "en", None, 3, None),
+    (4, "one", "en", "b", 3, "x"),
+    (4, "one", "en", "b", 3, "x"),
+    (None, "no key here at all", "fr", "b", 18, "x"),
+    (5, "été " * 5000, "fr", "c", 20000, "x"),
+    (6, "#### $$$$ ||||", "en", "c", 14, "x"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    # Columns named like internal ones must not clash.
+    return spark.createDataFrame(ODD, DOCS).withColumn("_s", F.lit(1)).withColumn("k", F.lit(2)).withColumn("t", F.lit("y"))
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.limit(0)
+
+
+def prose(rnd, words, vocabulary):
+    return " ".join(rnd.choice(vocabulary) for _ in range(words))
+
+
+def corpus(spark, n=300, seed=3):
+    rnd = random.Random(seed)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 6))) for _ in range(400)]
+    rows = []
+    for i in range(n):
+        rows.append((i, prose(rnd, rnd.randint(5, 120), vocabulary), "en", "hot" if i % 3 == 0 else f"s{i % 7}", 0, "x"))
+    return spark.createDataFrame(rows, DOCS), vocabulary, rnd
+
+
+# ---- sharding
+
+
+def test_shards_are_even_gapless_and_mixed(spark):
+    docs, _, _ = corpus(spark, 1000)
+    out = sharding.interleave_shards(docs, 8).toPandas()
+    assert sorted(out.doc_id) == list(range(1000))
+    counts = out.groupby("shard").size()
+    assert counts.max() - counts.min() <= 1
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    mix = out.groupby(["source", "shard"]).size().unstack(fill_value=0)
+    assert (mix.max(axis=1) - mix.min(axis=1)).max() <= 2
+    again = sharding.interleave_shards(docs.repartition(5), 8).toPandas()
+    assert dict(zip(out.doc_id, out.shard, strict=True)) == dict(zip(again.doc_id, again.shard, strict=True))
+
+
+def test_shards_of_odd_rows(odd, empty):
+    out = sharding.interleave_shards(odd, 3)
+    assert out.columns == [*odd.columns, "shard", "slot"]
+    assert out.count() == len(ODD)
+    assert sharding.interleave_shards(empty, 3).count() == 0
+    with pytest.raises(ValueError):
+        sharding.interleave_shards(odd, 0)
+
+
+# ---- mixing
+
+
+def water(sizes, share, most, cycle):
+    """Targets by raising a level step by step."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: cycle[i % len(cycle)] for i, s in enumerate(names)}
+    left, open_, out = share * sum(sizes.values()), set(names), {}
+    while True:
+        level = left / sum(w[s] for s in open_)
+        over = [s for s in open_ if level * w[s] > most * sizes[s]]
+        if not over:
+            return {**out, **{s: level * w[s] for s in open_}}
+        for s in over:
+            out[s] = most * sizes[s]
+            left -= out[s]
+            open_.remove(s)
+        if not open_:
+            return out
+
+
+def test_targets_match_a_plain_loop(spark):
+    sizes = {"a": 10, "b": 1000, "c": 50, "d": 400, None: 30}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    got = {r.source: r.target for r in mixing.source_targets(df, 1.5, 2.0).collect()}
+    want = water(sizes, 1.5, 2.0, (3, 1, 2))
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_mix_comes_near_targets(spark):
+    docs, _, _ = corpus(spark, 2000)
+    out = mixing.mix_sources(docs).toPandas()
+    assert len(out) == 2000
+    taken = (out._size * out._copies).groupby(out.source).sum()
+    target = out.groupby("source")._target.first()
+    assert ((taken - target).abs() <= out.groupby("source")._size.max()).all()
+    assert out._copies.between(0, 2).all()
+    again = mixing.mix_sources(docs.repartition(3)).toPandas()
+    key = lambda d: dict(zip(d.doc_id, d._copies, strict=True))
+    assert key(out) == key(again)
+
+
+def test_mix_keeps_expectations(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), "en", "a" if i < 60 else "b", 0, "x") for i in range(90)], DOCS)
+    total = np.zeros(90)
+    for seed in range(12):
+        p = mixing.mix_sources(docs, seed=seed).toPandas().sort_values("doc_id")
+        total += p._copies.to_numpy()
+    ratio = (p._target / p._source_size).to_numpy()
+    assert abs(total.mean() / 12 - ratio.mean()) < 0.15
+
+
+def test_mix_of_odd_rows(odd, empty):
+    out = mixing.mix_sources(odd)
+    assert out.count() == len(ODD)
+    assert mixing.mix_sources(empty).count() == 0
+
+
+# ---- quality rules
+
+
+def brute_repeats(ws):
+    seen = {}
+    for i in range(len(ws) - 2):
+        seen.setdefault(tuple(ws[i : i + 3]), []).append(i)
+    return len({j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 3)})
+
+
+def test_base_counts(spark):
+    rnd = random.Random(1)
+    texts = [None, "", "a b c a b c", "x\nx\n\n \nx", "a a a a a", "#a $b", "é é\x0bé"] + [" ".join(rnd.choice("abc") for _ in range(n)) for n in (1, 2, 3, 4, 60, 300)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    out = {r.doc_id: r for r in quality_rules.judge_documents(df).collect()}
+    for i, t in enumerate(texts):
+        ws = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if w]
+        lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        assert out[i]._n_words == len(ws)
+        assert out[i]._word_chars == sum(map(len, ws))
+        assert out[i]._n_repeat_words == brute_repeats(ws)
+        assert out[i]._n_dup_lines == len(lines) - len(set(lines))
+        assert out[i]._base_failed == (len(ws) < 50 or 100 * brute_repeats(ws) > 50 * len(ws))
+
+
+def test_divergent_text_goes_and_ordinary_stays(spark):
+    rnd = random.Random(2)
+    base = [(i, " ".join(rnd.choice(["the", "of", "and", "river", "stone", "walks", "green", "to"]) + rnd.choice(["", "", "s"]) for _ in range(120)), "en") for i in range(60)]
+    junk = [(100, " ".join("%$#" + str(rnd.randint(0, 10**6)) for _ in range(120)), "en")]
+    out = {r.doc_id: r._kept for r in quality_rules.judge_documents(spark.createDataFrame(base + junk, "doc_id bigint, text string, lang string")).collect()}
+    assert not out[100]
+    assert all(out[i] for i in range(60))
+
+
+def test_rules_of_odd_rows(odd, empty):
+    out = quality_rules.judge_documents(odd)
+    assert out.count() == len(ODD)
+    assert out.filter("_kept is null").count() == 0
+    assert quality_rules.judge_documents(empty).count() == 0
+
+
+# ---- language
+
+
+def test_language_profiles(spark):
+    rnd = random.Random(4)
+    words = {"en": ["the", "quick", "river", "walks", "with", "stone"], "fr": ["été", "maison", "où", "chat", "leçon", "très"], "de": ["straße", "über", "schön", "wälder", "nicht"]}
+    rows = [(i, prose(rnd, 30, words[lang := list(words)[i % 3]]), lang) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    protos = langid.learn_prototypes(df.filter("doc_id < 60"))
+    assert list(protos) == ["de", "en", "fr"]
+    out = langid.identify(df.filter("doc_id >= 60"), protos).toPandas()
+    assert (out.lang == out.lang_pred).all()
+    assert out.score.between(0, 1).all()
+
+
+def test_language_of_odd_rows(odd, empty):
+    protos = langid.learn_prototypes(odd)
+    out = langid.identify(odd, protos)
+    assert out.columns == [*odd.columns, "lang_pred", "score"]
+    got = {(r.doc_id, r.text): r.lang_pred for r in out.collect()}
+    assert got[1, None] == got[2, ""] == got[6, "#### $$$$ ||||"] == "und"
+    assert langid.identify(empty, protos).count() == 0
+    assert langid.learn_prototypes(empty) == {}
+    assert {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
+
+
+# ---- hashing
+
+
+def test_word_hashes_tell_words_apart():
+    texts = ["one two", "Two one", "", "été one", "a" * 5000, "x" + " " * 9 + "y\x0bz"]
+    h, n = textkit.word_hashes([t.encode() for t in texts])
+    assert list(n) == [2, 2, 0, 2, 1, 3]
+    assert h[0] == h[3] == h[5] and h[1] == h[2] and len({*h[:2], h[4], *h[6:]}) == 7
+
+
+# ---- decontamination
+
+
+def test_items_are_found_wherever_they_stand(spark):
+    docs, vocabulary, rnd = corpus(spark, 60)
+    items = [(i, prose(rnd, n, vocabulary)) for i, n in enumerate([3, 5, 8, 20, 45, 90])] + [(90, None), (91, ""), (92, "!!!")]
+    rows = docs.select("doc_id", "text").collect()
+    planted = [(1000 + i, prose(rnd, rnd.randint(0, 300), vocabulary) + " " + t.upper().replace(" ", ",  ") + ". " + prose(rnd, rnd.randint(0, 300), vocabulary)) for i, t in items if t and t != "!!!"]
+    planted += [(2000, items[0][1]), (2001, None), (2002, "")]
+    df = spark.createDataFrame([(r.doc_id, r.text) for r in rows] + planted, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    sets = {i: decontaminate.shingles(t) for i, t in items}
+    want = {(d, i) for d, t in [(r.doc_id, r.text) for r in rows] + planted for i, s in sets.items() if s and len(s & decontaminate.shingles(t)) >= 0.8 * len(s)}
+    assert got == want
+    assert {(1000 + i, i) for i in range(1, 6)} <= got and (2000, 0) in got
+
+
+def test_decontamination_of_odd_rows(odd, empty, spark):
+    bench = spark.createDataFrame([(1, "no key here at all")], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, bench).collect()] == [(None, 1)]
+    assert decontaminate.contaminated(empty, bench).count() == 0
+    assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
+
+
+# ---- n-gram join
+
+
+def brute_join(rows, size, percent):
+    def shingles(t):
+        w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+
+    s = [(k, shingles(t)) for k, t in rows]
+    top = {k: k for k, _ in rows}
+
+    def find(a):
+        while top[a] != a:
+            a = top[a]
+        return a
+
+    links = dict.fromkeys(range(len(s)), 0)
+    for i, (a, x) in enumerate(s):
+        for j, (b, y) in enumerate(s):
+            if i != j and x and y and 100 * len(x & y) >= percent * len(x | y):
+                links[i] += 1
+                p, q = find(a), find(b)
+                top[max(p, q)] = min(p, q)
+    return {k: (len(x), find(k), links[i]) for i, (k, x) in enumerate(s)}
+
+
+@pytest.mark.parametrize(("size", "percent", "chunk"), [(4, 85, 512), (5, 80, 7), (2, 60, 512)])
+def test_join_equals_brute_force(spark, monkeypatch, size, percent, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK_DOCS", chunk)
+    monkeypatch.setattr(ngram_join, "BATCH_TOKENS", 500)
+    rnd = random.Random(size)
+    vocabulary = ["".join(rnd.choice("abcdef") for _ in range(3)) for _ in range(80)]
+    common_part = prose(rnd, 40, vocabulary)
+    rows, n = [], 0
+    for _ in range(25):
+        base = prose(rnd, rnd.randint(1, 60), vocabulary).split()
+        for _ in range(rnd.randint(1, 6)):
+            w = base[:]
+            for _ in range(rnd.randint(0, 2)):
+                w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+            rows.append((n, " ".join(w) + (f" {common_part}" if rnd.random() < 0.3 else "")))
+            n += 1
+    rows += [(n, None), (n + 1, ""), (n + 2, "Same Text"), (n + 3, "same\ttext"), (n + 4, "same text")]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_components(df, size, percent).collect()}
+    assert got == brute_join(rows, size, percent)
+
+
+def test_join_of_odd_rows(odd, empty):
+    out = {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(odd).collect()}
+    assert (None, None) in out and (4, 4) in out and (1, 1) in out
+    assert ngram_join.jaccard_components(odd).count() == len(ODD)
+    assert ngram_join.jaccard_components(empty).count() == 0
+
+
+def test_components_of_chains(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
+    got = {r.node: r.component for r in common.connected_components(chain).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[101] == got[100] == 100
+    assert common.connected_components(chain.limit(0)).count() == 0
+
+
+# ---- toxicity
+
+
+def test_toxic_words_score_high(spark):
+    rnd = random.Random(6)
+    plain = ["river", "stone", "green", "walks", "light", "house", "garden", "window"]
+    rows, labels = [], []
+    for i in range(300):
+        words = prose(rnd, 60, plain).split()
+        if i % 4 == 0:
+            words[rnd.randrange(60)] = rnd.choice(["vilewort", "grimscum"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(1000, None), (1001, ""), (1002, "12 34")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame(labels + [(5000, None)], "doc_id bigint, toxic int")
+    out = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, marks, learn_from=lambda k: k % 3 != 1).collect()}
+    held = [i for i in range(300) if i % 3 == 1]
+    assert all((out[i] >= 0.7) == (i % 4 == 0) for i in held)
+    assert all(0 <= s <= 1 for s in out.values()) and out[1000] == out[1001] == out[1002] < 0.7
+
+
+def test_toxicity_without_labels(odd, empty, spark):
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert all(r.score < 0.5 for r in toxicity.score_toxicity(odd, none).collect())
+    some = spark.createDataFrame([(4, 1), (5, 0)], "doc_id bigint, toxic int")
+    assert toxicity.score_toxicity(odd, some).count() == len(ODD)
+    assert toxicity.score_toxicity(empty, some).count() == 0
+
+
+# ---- quality
+
+
+def test_co_training_separates_junk(spark):
+    rnd = random.Random(8)
+    words = ["river", "stone", "green", "walks", "light", "house"]
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        text = " ".join("###|" + str(rnd.randint(0, 9)) for _ in range(60)) if bad else prose(rnd, 60, words) + "."
+        rows.append((i, text, "en", f"s{i % 5}", len(text), "x"))
+        if i < 250:
+            labels.append((i, int(not bad)))
+    out = cotraining.classify_quality(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int")).toPandas()
+    assert ((out.score >= 0.5) == (out.doc_id % 4 != 0)).mean() > 0.98
+    assert len(out) == 400
+
+
+def test_quality_of_odd_rows(odd, empty, spark):
+    labels = spark.createDataFrame([(4, 1)], "doc_id bigint, quality int")
+    assert cotraining.classify_quality(odd, labels).count() == len(ODD)
+    assert cotraining.classify_quality(empty, labels).count() == 0
+
+
+# ---- WARC
+
+
+def test_round_trip_with_magic_inside_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PIECE_BYTES", 700)
+    monkeypatch.setattr(warc, "HEADER_BYTES", 600)
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nContent-Length: 4\r\n\r\nevil\r\n\r\n"
+    html = ["plain", fake, "x" + fake * 3, None, "", "dup", "dup", "dup", "é" * 900, fake[:20], "WARC/1.0\r\n" * 50]
+    rows = [(i, f"http://h/{i} x\ny", h) for i, h in enumerate(html)] + [(None, None, "dup")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(pages, path)
+    out = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert len(out) == len(rows) and 666 not in out
+    for i, h in enumerate(html):
+        r = out[i]
+        same = [j for j, x in enumerate(html) if (x or "") == (h or "")]
+        assert r.payload_bytes == len((h or "").encode())
+        assert r.record_type == ("response" if i == max(same) else "revisit")
+        assert r.refers_to == (None if i == max(same) else max(same))
+        if r.record_type == "response":
+            assert bytes(r.payload).decode() == (h or "") and r.intact
+    assert out[None].record_type == "revisit" and out[None].refers_to == 7
+    import base64
+    import hashlib
+
+    assert out[0].payload_digest == base64.b32encode(hashlib.sha1(b"plain").digest()).decode()
+
+
+def test_small_payloads_are_not_revisited(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id bigint, url string, html string")
+    out = {r.page_id: r.record_type for r in warc.with_revisits(pages, min_bytes=5).collect()}
+    assert out == {1: "response", 2: "response", 3: "revisit", 4: "response"}
+    path = f"file://{tmp_path}/e"
+    warc.write_archives(pages.limit(0), path)
+    assert warc.read_archives(spark, path).count() == 0
+
+
+# ---- token counts
+
+
+@pytest.fixture(scope="module")
+def counter():
+    with open(token_counts.VOCABULARY, "rb") as f:
+        return token_counts.Counter(f.read())
+
+
+def test_edits_equal_encoding_anew(counter):
+    rnd = random.Random(1)
+    for _ in range(300):
+        alphabet = rnd.choice(["ab 'st\n  1!é", "a  \n\t ", "'re ll's x9", "abc def, "])
+        text = "".join(rnd.choice(alphabet) for _ in range(rnd.choice([0, 3, 50, 400, 3000])))
+        tree = token_counts.TokenTree(text, counter)
+        for _ in range(rnd.randint(1, 5)):
+            a = rnd.randint(0, len(text))
+            b = min(len(text), a + rnd.choice([0, 1, 2, 5, 100, 700]))
+            new = "".join(rnd.choice(alphabet) for _ in range(rnd.choice([0, 1, 7, 60, 6000])))
+            tree.edit(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert tree.text() == text
+            assert tree.total() == len(counter.encoding.encode_ordinary(text))
+
+
+def test_an_edit_touches_little(counter):
+    tree = token_counts.TokenTree("some plain words here " * 5000, counter)
+    assert tree.edit(30000, 30004, "other") < 10
+
+
+def test_counts_with_an_edits_column(spark, odd, empty):
+    e = "array<struct<start:int,end:int,text:string>>"
+    df = spark.createDataFrame([(1, "mail me at a@b.cd now", [(11, 17, "[X]"), (12, 14, "lost")]), (2, None, None), (3, "abc", [(0, 99, "")])], f"doc_id bigint, text string, edits {e}")
+    out = {r.doc_id: r for r in token_counts.count_after_edits(df).collect()}
+    assert (out[1].n_edits, out[1].n_chars_after) == (1, len("mail me at [X] now"))
+    assert (out[2].n_tokens, out[2].n_tokens_after) == (0, 0)
+    assert (out[3].n_tokens_after, out[3].n_chars_after) == (0, 0)
+    assert token_counts.count_after_edits(odd, token_counts.redactions).count() == len(ODD)
+    assert token_counts.count_after_edits(empty, token_counts.redactions).count() == 0
+
+
+def test_redactions():
+    text = "write to a.b@c.example or https://x.y/z, call +1 234 567 8901."
+    assert [t for _, _, t in token_counts.redactions(text)] == ["[EMAIL]", "[URL]", "[NUMBER]"]
+
+
+def test_folds(spark):
+    got = {r.i: r.h for r in spark.range(50).select(F.col("id").alias("i"), langid.held_out(F.col("id"), 3, 1).alias("h")).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)}
