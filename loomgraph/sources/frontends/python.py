@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 from loomgraph.sources.frontends.record import TOPLEVEL, bump, new_file, new_function, simple_type, words_of
 
@@ -24,6 +25,10 @@ def _literal(node, index: int, key: str | None, out: list) -> None:
     elif isinstance(node, ast.JoinedStr):
         parts = [v.value if isinstance(v, ast.Constant) else "{" + (ast.unparse(v.value) if isinstance(v, ast.FormattedValue) else "") + "}" for v in node.values]
         out.append({"index": index, "key": key, "kind": "str", "text": "".join(map(str, parts))})
+    elif isinstance(node, ast.BinOp) and isinstance(node.op, (ast.Mod, ast.Add)) and isinstance(node.left, ast.Constant) and isinstance(node.left.value, str):
+        # A formatted or joined string: what is filled in becomes a parameter.
+        text = re.sub(r"%[-\d.]*[a-z]", "{}", node.left.value) if isinstance(node.op, ast.Mod) else node.left.value + "{}"
+        out.append({"index": index, "key": key, "kind": "str", "text": text})
     elif name := _dotted(node):
         out.append({"index": index, "key": key, "kind": "ident", "text": name})
     elif isinstance(node, (ast.List, ast.Tuple, ast.Set)) and (key or len(node.elts) <= 4):
