@@ -34,7 +34,7 @@ WORD_BINS = 12
 #: Documents with fewer characters, or words, are not judged by the respective histogram.
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Largest distance (base 2, 0 to 1) from the language's reference.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.24, 0.6
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.24, 0.3
 _BINS = len(CLASSES) + 2
 
 
