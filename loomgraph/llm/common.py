@@ -41,6 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loomgraph/{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Has Arrow batches of this session hold 4 MB or 2,000 rows at most.
+
+    Rows here carry whole texts, of any length, so batches must be cut by bytes for a worker's memory to be
+    bounded.  Smaller values that the session already has stay.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)):
+        now = re.fullmatch(r"(-?\d+)b?", str(spark.conf.get(name, None)))
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(name, str(most))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and reads them back."""
     spark = df.sparkSession

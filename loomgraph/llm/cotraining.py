@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import load, materialize
+from loomgraph.llm.common import bound_batches, load, materialize
 from loomgraph.llm.langid import held_out
 from loomgraph.llm.textkit import BLANKS, batches, word_hashes
 
@@ -127,6 +127,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     kind only, or none, all scores are that kind's share, or 1/2.
     """
 
+    bound_batches(docs.sparkSession)
+
     def measure(texts: pd.Series) -> pd.Series:
         return pd.Series(list(text_features(texts.tolist())))
 

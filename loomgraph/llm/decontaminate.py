@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import load
+from loomgraph.llm.common import bound_batches, load
 from loomgraph.llm.textkit import PUNCTUATION, batches, mix, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -140,6 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, thr
     Null, empty and wordless texts on either side match nothing.  Repeated rows give
     repeated pairs.  The benchmark may be of any size: the documents are read once per block.
     """
+    bound_batches(docs.sparkSession)
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, {item} {benchmark.schema[item].dataType.simpleString()}, n_item_shingles bigint, n_shared bigint"
     out = None
     for ids, texts in _blocks(benchmark, item, item_text):

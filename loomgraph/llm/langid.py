@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import load
+from loomgraph.llm.common import bound_batches, load
 
 DIMS, GRAM, SEED = 1024, 3, 5
 #: Prototypes that may be sent to executors: more than there are language codes, 32 MB.
@@ -83,10 +83,10 @@ class Bundler:
         which = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
         codes, at = np.unique(np.concatenate(grams), return_inverse=True)
         out = np.zeros((len(texts), self.dims), np.float32)
-        for low in range(0, len(codes), 8192):  # bounds the dense counts for rich alphabets
-            part = codes[low : low + 8192]
+        for low in range(0, len(codes), 4096):  # bounds the dense counts for rich alphabets
+            part = codes[low : low + 4096]
             self._learn(part)
-            mine = (at >= low) & (at < low + 8192)
+            mine = (at >= low) & (at < low + 4096)
             counts = np.bincount(which[mine] * len(part) + (at[mine] - low), minlength=len(texts) * len(part))
             rows = self.vectors[np.searchsorted(self.known, part)].astype(np.float32)
             out += counts.reshape(len(texts), len(part)).astype(np.float32) @ rows
@@ -110,6 +110,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def learn_prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = DIMS, gram: int = GRAM, seed: int = SEED) -> dict[str, np.ndarray]:
     """Unit prototypes by language, from all rows with a language and a letter."""
 
+    bound_batches(docs.sparkSession)
+
     def partial(batches):
         sums: dict[str, np.ndarray] = {}
         for b in batches:
@@ -139,6 +141,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     Null texts and texts without letters are ``und`` with score 0, as all are without
     prototypes.  Ties go to the first language by name.
     """
+    bound_batches(docs.sparkSession)
     names = sorted(prototypes)
     dims = len(prototypes[names[0]]) if names else DIMS
     matrix = np.stack([prototypes[n] for n in names]) if names else np.zeros((0, dims), np.float32)

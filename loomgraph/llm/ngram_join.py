@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import connected_components, load, materialize
+from loomgraph.llm.common import bound_batches, connected_components, load, materialize
 from loomgraph.llm.textkit import BLANKS, batches, mix, shingle_hashes, word_hashes
 
 SHINGLE, PERCENT = 4, 85
@@ -291,6 +291,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     component_id is the smallest key reachable.  Keys are integers; rows of one key are one
     node, and rows without a key link with nothing and have no component.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     profiles = materialize(_profiles(rows, size))
     some = rows.filter("k is not null")

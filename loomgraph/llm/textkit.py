@@ -14,7 +14,7 @@ _POLY = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _POLY_INV = pow(_POLY, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240117).integers(1, 2**63, 256, dtype=np.uint64)
 #: Bytes of text that one call hashes at once; longer batches are cut between documents.
-BUFFER_BYTES = 4 << 20
+BUFFER_BYTES = 1 << 20
 
 #: ASCII blanks: space and tab to carriage return.
 BLANKS = np.zeros(256, bool)

@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import load
+from loomgraph.llm.common import bound_batches, load
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary below.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -179,6 +179,7 @@ def count_after_edits(docs: DataFrame, find_edits: Callable[[str], list[tuple[in
     Edits (start, end, text) in characters of the old text come from ``find_edits`` or from the column
     ``edits``, an array of structs; null is none.  Null and empty texts have no tokens.
     """
+    bound_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         ranks = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(ranks) > MAX_VOCABULARY_BYTES:

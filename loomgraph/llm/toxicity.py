@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import load, materialize
+from loomgraph.llm.common import bound_batches, load, materialize
 from loomgraph.llm.langid import held_out
 
 ORDER, SYMBOL_BITS, DISCOUNT = 6, 10, 0.75
@@ -225,6 +225,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from=None, key: str
     the condition ``learn_from`` holds are learnt from.  Null, empty and wordless texts get
     the curve's value at no evidence.  Without labels of both kinds all scores are near 0.
     """
+    bound_batches(docs.sparkSession)
     marks = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("_k").isNotNull())
     if learn_from is not None:
         marks = marks.filter(learn_from(F.col("_k")))
