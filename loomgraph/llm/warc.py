@@ -3,19 +3,21 @@
 The bytes ``WARC/1.0`` may also stand inside a payload, so finding them proves nothing.  Tasks
 scan pieces of the archives and emit, for everything that looks like a record, where the
 next record would start.  Only what a chain from the start of the file reaches is a record.
-A task first follows the chains inside its piece, so pointer jumping doubles its stride over
+A task follows the chains inside its piece, so pointer jumping doubles its stride over
 pieces and takes the logarithm of their number in rounds.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import load, materialize, shared_dir
+from loomgraph.llm.common import bound_batches, load, materialize, shared_dir
 
 MAGIC = b"WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -38,23 +40,26 @@ def base32_sha1(hexadecimal: Column) -> Column:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``pages`` plus payload (null is empty), payload_bytes, payload_digest, record_type and refers_to.
+    """``pages`` with payload (null is empty) in the place of ``html``, payload_bytes, payload_digest, record_type and refers_to.
 
     Of equal payloads of at least ``min_bytes`` that of the largest key is the response, also if
     rows repeat that key or if all keys are null; the others revisit it.
     """
-    d = pages.withColumn("payload", F.coalesce(F.col(html), F.lit("")))
+    rest = [c for c in pages.columns if c != html]
+    d = pages.select(*rest, F.coalesce(F.col(html), F.lit("")).alias("payload"))
     d = d.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "_sha": F.sha1("payload"), "_key": F.col(key).cast("long")})
     first = d.filter(F.col("payload_bytes") >= min_bytes).groupBy("_sha").agg(F.max("_key").alias("_first"), F.count("*").alias("_n"))
-    first = first.filter("_n > 1").drop("_n").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Payloads that stand alone need no partner.  The rest is written, so that its true size decides whether
+    # the pages are joined where they are or, salted against a digest that many share, by shuffle.
+    first = materialize(first.filter("_n > 1").drop("_n")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     d = d.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"), F.lit(0))).join(first, ["_sha", "_salt"], "left")
     revisit = (F.col("payload_bytes") >= min_bytes) & ~F.col("_key").eqNullSafe(F.col("_first")) & F.col("_first").isNotNull()
-    return d.select(*pages.columns, "payload", "payload_bytes", base32_sha1(F.col("_sha")).alias("payload_digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
+    return d.select(*rest, "payload", "payload_bytes", base32_sha1(F.col("_sha")).alias("payload_digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Writes one WARC record per row; revisits have no block, but the length and digest of the payload they stand for."""
-    d = with_revisits(pages, min_bytes, key, html)
+    d = with_revisits(pages.select(key, url, html), min_bytes, key, html)
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     response = F.col("record_type") == "response"
@@ -80,16 +85,16 @@ _FIELD = re.compile(rb"([A-Za-z-]+): ?(.*?)\r\n")
 
 
 def _candidates(frames):
-    """Everything in a piece that looks like a record, with its successor and where its chain leaves the piece."""
+    """Everything in an archive that looks like a record, with its successor and where its chain leaves the piece.
+
+    A block that ends as a record must, before another or the end of the file, is hashed on the way.
+    """
     for f in frames:
         out = []
-        for path, start, data, length in zip(f["path"], f["start"], f["data"], f["length"], strict=True):
-            data, found = bytes(data), {}
-            stop = min(start + PIECE_BYTES, length)
+        for path, content in zip(f["path"], f["content"], strict=True):
+            data, found = bytes(content), {}
             for m in re.finditer(re.escape(MAGIC), data):
-                at = start + m.start()
-                if at >= stop:
-                    break
+                at = m.start()
                 end = data.find(b"\r\n\r\n", m.end() - 2, m.end() + HEADER_BYTES)
                 if end < 0:
                     continue
@@ -97,17 +102,20 @@ def _candidates(frames):
                 size = fields.get(b"content-length", b"")
                 if not size.isdigit() or len(size) > 15:
                     continue
-                body = start + end + 4
+                body, after = end + 4, end + 4 + int(size) + 4
+                ends_well = data[after - 4 : after] == b"\r\n\r\n" and (after == len(data) or data.startswith(MAGIC, after))
+                own = base64.b32encode(hashlib.sha1(memoryview(data)[body : after - 4]).digest()).decode() if ends_well else None
                 get = lambda name, fields=fields: fields.get(name, b"").decode("utf-8", "replace")
-                found[at] = [path, start, at, body + int(size) + 4, None, body, int(size), *map(get, (b"warc-type", b"warc-record-id", b"warc-target-uri", b"warc-payload-digest", b"warc-payload-length", b"warc-refers-to"))]
+                found[at] = [path, at // PIECE_BYTES, at, after, None, body, int(size), own, *map(get, (b"warc-type", b"warc-record-id", b"warc-target-uri", b"warc-payload-digest", b"warc-payload-length", b"warc-refers-to"))]
             for at in sorted(found, reverse=True):
                 after = found[at][3]
-                found[at][4] = found[after][4] if after in found else after
+                inside = after in found and after // PIECE_BYTES == at // PIECE_BYTES
+                found[at][4] = found[after][4] if inside else after
             out += found.values()
         yield pd.DataFrame(out, columns=_COLUMNS)
 
 
-_SCHEMA = "path string, piece bigint, pos bigint, next bigint, leaves bigint, body bigint, size bigint, kind string, id string, uri string, digest string, stated string, refers string"
+_SCHEMA = "path string, piece bigint, pos bigint, next bigint, leaves bigint, body bigint, size bigint, own string, kind string, id string, uri string, digest string, stated string, refers string"
 _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
@@ -127,11 +135,9 @@ def _chain(frames):
 
 def verified_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under ``path``: those on the chain from a file's start."""
+    bound_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("length") - 1), F.lit(PIECE_BYTES).cast("long")))
-    pieces = files.select("path", "length", "content", starts.alias("start"))
-    data = F.expr(f"substring(content, cast(start + 1 as int), {PIECE_BYTES + HEADER_BYTES + len(MAGIC)})")
-    found = materialize(pieces.select("path", "start", data.alias("data"), "length").mapInPandas(_candidates, _SCHEMA))
+    found = materialize(files.select("path", "content").mapInPandas(_candidates, _SCHEMA))
     hop = found.select("path", F.col("pos").alias("at"), F.col("leaves").alias("to"))
     reached = found.filter("pos = 0").select("path", F.col("pos").alias("at"))
     while True:
@@ -147,37 +153,39 @@ def verified_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*_COLUMNS, "entry").mapInPandas(_chain, _SCHEMA)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest, intact) of every verified record.
 
     Length and digest of a response are taken from its block, those of a revisit from its header, its
-    payload is null; ``intact`` says whether a response's block matches its header.
+    payload is null; ``intact`` says whether a response's block matches its header.  Without
+    ``payloads`` that column is left out and no block leaves the task that hashed it.
     """
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    records = verified_records(spark, path).groupBy("path").agg(F.collect_list(F.struct(*_COLUMNS[5:])).alias("records"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    each = files.join(records, "path").select("content", F.explode("records").alias("r"))
-    response = F.col("r.kind") == "response"
-    d = each.select("r.*", F.when(response, F.expr("substring(content, cast(r.body + 1 as int), cast(r.size as int))")).alias("payload"))
-    own, stated = base32_sha1(F.sha1("payload")), F.regexp_replace("digest", "^sha1:", "")
-    response = F.col("kind") == "response"
-    return d.select(
+    d = verified_records(spark, path)
+    response, stated = F.col("kind") == "response", F.regexp_replace("digest", "^sha1:", "")
+    columns = [
         number(F.col("id")).alias("page_id"),
         F.when(F.col("uri") != "", F.col("uri")).alias("url"),
         F.col("kind").alias("record_type"),
         number(F.col("refers")).alias("refers_to"),
-        "payload",
-        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("stated").try_cast("long")).alias("payload_bytes"),
-        F.when(response, own).otherwise(stated).alias("payload_digest"),
-        F.when(response, (own == stated) & (F.octet_length("payload") == F.col("size"))).alias("intact"),
-    )
+        F.when(response, F.col("size")).otherwise(F.col("stated").try_cast("long")).alias("payload_bytes"),
+        F.when(response, F.col("own")).otherwise(stated).alias("payload_digest"),
+        F.when(response, F.coalesce(F.col("own") == stated, F.lit(False))).alias("intact"),
+    ]
+    if not payloads:
+        return d.select(*columns)
+    records = d.groupBy("path").agg(F.collect_list(F.struct(*_COLUMNS[5:])).alias("records"))  # of one archive's size at most
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    each = files.join(records, "path").select("content", F.explode("records").alias("r"))
+    block = F.when(F.col("r.kind") == "response", F.expr("substring(content, cast(r.body + 1 as int), cast(r.size as int))"))
+    return each.select("r.*", block.alias("payload")).select(*columns, "payload")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages into archives in the shared folder and reads them back."""
     path = shared_dir(spark)
     write_archives(load(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    return read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 _B32 = "substr('{a}', CAST(('0x' || substr(h, {i}, 5)) AS INTEGER) // {d} % 32 + 1, 1)"
