@@ -61,10 +61,13 @@ def document_features(docs: DataFrame, carry: list[str] | None = None, text: str
     """
     carry = docs.columns if carry is None else carry
     d = docs.select(F.struct(*carry).alias("_row"), F.col(lang).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    tally = [_count_chars(F.col("_t"), c) for c in CLASSES.values()]
+    # Letters go in runs; all other classes are counted in what is left, a fifth of the text.
+    d = d.withColumns({"_len": F.char_length("_t"), "_rest": F.regexp_replace("_t", "[A-Za-z]+", "")})
+    d = d.withColumn("_vowels", _count_chars(F.col("_t"), CLASSES["vowel"]))
+    tally = [F.col("_vowels"), F.col("_len") - F.char_length("_rest") - F.col("_vowels"), *[_count_chars(F.col("_rest"), c) for c in list(CLASSES.values())[2:]]]
     spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("_t"), r"[^\p{L}]+", "  "), F.lit(" "))
-    lines = F.filter(F.split("_t", "\n"), lambda x: F.translate(x, CLASSES["blank"], "") != "")
-    d = d.withColumns({"_ws": words(F.col("_t")), "_tally": F.array(*tally), "_wide": F.char_length(F.regexp_replace("_t", r"[\x00-\x7F]+", "")), "_len": F.char_length("_t"), "_spaced": spaced, "_lines": lines})
+    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    d = d.withColumns({"_ws": words(F.col("_t")), "_tally": F.array(*tally), "_wide": F.char_length(F.regexp_replace("_rest", r"[\x00-\x7F]+", "")), "_spaced": spaced, "_lines": lines})
     d = d.withColumn("_sorted", _windows(F.col("_ws")))
     again = lambda x, k: (x.h == F.get(F.col("_sorted"), k - 1).h) | (x.h == F.get(F.col("_sorted"), k + 1).h)
     d = d.withColumn("_starts", F.transform(F.filter("_sorted", lambda x, k: F.coalesce(again(x, k), F.lit(False))), lambda x: x.i))
