@@ -21,7 +21,7 @@ from loomgraph.llm.common import bound_batches, load, materialize, shared_dir
 
 MAGIC = b"WARC/1.0\r\n"
 END = "\r\n\r\n"
-#: Bytes of an archive, of a piece that is scanned at once, and the longest header.
+#: Bytes of an archive, of a piece that is scanned at once, and of what is searched first for a header's end.
 ARCHIVE_BYTES, PIECE_BYTES, HEADER_BYTES = 32 << 20, 4 << 20, 64 << 10
 #: Copies of each digest's row, so that a digest that many pages share is spread out.
 SALTS = 16
@@ -76,7 +76,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, key: str = "
         F.lit("\r\n"),
         block,
     )
-    stats = pages.agg(F.count("*"), F.sum(F.octet_length(F.col(html)))).first()
+    stats = pages.agg(F.count("*"), F.sum(F.coalesce(F.octet_length(F.col(html)), F.lit(0)) + F.coalesce(F.octet_length(F.col(url).cast("string")), F.lit(0)))).first()
     per_file = max(1, int(ARCHIVE_BYTES / (500 + (stats[1] or 0) / max(1, stats[0]))))
     d.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
 
@@ -87,18 +87,23 @@ _FIELD = re.compile(rb"([A-Za-z-]+): ?(.*?)\r\n")
 def _candidates(frames):
     """Everything in an archive that looks like a record, with its successor and where its chain leaves the piece.
 
-    A block that ends as a record must, before another or the end of the file, is hashed on the way.
+    A header may be of any length; what stands before one blank line is read once, for all that may start
+    there.  A block that ends as a record must, before another or the end of the file, is hashed on the way.
     """
     for f in frames:
         out = []
         for path, content in zip(f["path"], f["content"], strict=True):
-            data, found = bytes(content), {}
+            data, found, end, lines = bytes(content), {}, -1, {}
             for m in re.finditer(re.escape(MAGIC), data):
                 at = m.start()
-                end = data.find(b"\r\n\r\n", m.end() - 2, m.end() + HEADER_BYTES)
-                if end < 0:
-                    continue
-                fields = {k.lower(): v for k, v in _FIELD.findall(data[m.end() : end + 2])}
+                if end < m.end() - 2:
+                    end = data.find(b"\r\n\r\n", m.end() - 2, m.end() + HEADER_BYTES)
+                    if end < 0:
+                        end = data.find(b"\r\n\r\n", m.end() - 2)
+                    if end < 0:
+                        break  # nor has any later header an end
+                    lines = {x[1].lower(): (x.start(), x[2]) for x in _FIELD.finditer(data, m.end(), end + 2)}
+                fields = {k: v for k, (start, v) in lines.items() if start >= m.end()}
                 size = fields.get(b"content-length", b"")
                 if not size.isdigit() or len(size) > 15:
                     continue
@@ -134,7 +139,10 @@ def _chain(frames):
 
 
 def verified_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under ``path``: those on the chain from a file's start."""
+    """The records of all archives under ``path``: those on the chain from a file's start.
+
+    A chain that does not end with its file would lose the records behind it, so it is an error.
+    """
     bound_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     found = materialize(files.select("path", "content").mapInPandas(_candidates, _SCHEMA))
@@ -148,6 +156,10 @@ def verified_records(spark: SparkSession, path: str) -> DataFrame:
         hop = materialize(hop.join(second, ["path", "to"]).select("path", "at", F.col("then").alias("to")))
         if hop.isEmpty():
             break
+    ends = found.select("path", F.col("pos").alias("at"), "leaves").join(reached, ["path", "at"]).groupBy("path").agg(F.max("leaves").alias("end"))
+    broken = files.select("path", "length").filter("length > 0").join(ends, "path", "left").filter(~F.col("end").eqNullSafe(F.col("length"))).select("path", "end").first()
+    if broken is not None:
+        raise ValueError(f"the records of {broken['path']} end at byte {broken['end'] or 0}, not with the file")
     entry = found.select("path", "piece", F.col("pos").alias("at")).join(reached, ["path", "at"], "left_semi").groupBy("path", "piece").agg(F.min("at").alias("entry"))
     rows = found.join(entry, ["path", "piece"]).repartition("path", "piece").sortWithinPartitions("path", "piece", "pos")
     return rows.select(*_COLUMNS, "entry").mapInPandas(_chain, _SCHEMA)

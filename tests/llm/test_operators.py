@@ -387,6 +387,20 @@ def test_small_payloads_are_not_revisited(spark, tmp_path):
     assert warc.read_archives(spark, path).count() == 0
 
 
+def test_long_headers_and_broken_chains(spark, tmp_path):
+    rows = [(0, "http://h/0", "a"), (1, "data:," + "x" * 100_000, "b"), (2, "http://h/WARC/1.0", "c"), (3, "http://h/3", "d")]
+    path = f"file://{tmp_path}/l"
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), path)
+    out = warc.read_archives(spark, path).collect()
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in out) == rows and all(r.intact for r in out)
+    for name, cut in (("cut", lambda b: b[:-30]), ("tail", lambda b: b + b"rest"), ("head", lambda b: b"x" + b)):
+        (tmp_path / name).mkdir()
+        for f in (tmp_path / "l").glob("part-*"):
+            (tmp_path / name / f.name).write_bytes(cut(f.read_bytes()))
+        with pytest.raises(ValueError, match="not with the file"):
+            warc.read_archives(spark, f"file://{tmp_path}/{name}").count()
+
+
 # ---- token counts
 
 
