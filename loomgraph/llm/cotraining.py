@@ -5,14 +5,17 @@ metadata (source, language, length).  Over some rounds each marks the unlabelled
 surest of as training rows for the other.  Both are then calibrated on rows held back, and a
 logistic model of the two calibrated views scores every document.
 
-Text statistics come from one Arrow pass; fitting sees bounded samples in hash order; the
-scores of all documents are column expressions.
+Text statistics come from one Arrow pass.  The labelled rows of the fit are a bounded sample in
+hash order; pseudo-labels are chosen from all unlabelled rows, whose number has no bound, so they
+stay distributed: tasks count confidences and sum the moments of Newton steps.  The scores of
+all documents are column expressions.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +23,11 @@ from loomgraph.llm.common import bound_batches, load, materialize
 from loomgraph.llm.langid import held_out
 from loomgraph.llm.textkit import BLANKS, batches, word_hashes
 
-#: Labelled rows and unlabelled rows that fitting may see, in the order of a hash.
-LABELLED_ROWS, POOL_ROWS = 20_000, 20_000
+#: Labelled rows that fitting may see, in the order of a hash.
+LABELLED_ROWS = 20_000
 ROUNDS, SHARE, SURE = 5, 0.02, 0.95
+#: Steps that a unit of log-odds is counted in, and the log-odds that the last step stands for.
+STEPS, TOP = 1024, 64
 #: Bins that sources and languages are hashed to.
 SOURCE_BINS, LANG_BINS = 64, 16
 _CLASSES = {
@@ -76,33 +81,134 @@ def _logit(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray]) -> list[np.ndarray]:
+def _moments(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The curvature and then the slope of the log-likelihood at ``w``, as one vector."""
+    z = np.column_stack((x, np.ones(len(x))))
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    return np.concatenate(((z.T @ (z * (p * (1 - p) + 1e-9)[:, None])).ravel(), z.T @ (y - p)))
+
+
+def _sides(w: np.ndarray, x: np.ndarray):
+    """(label, rows that are sure of it, their steps of confidence) for both labels."""
+    odds = _logit(w, x)
+    for label, side in ((0, -odds), (1, odds)):
+        yield label, side >= np.log(SURE / (1 - SURE)), (np.clip(side, 0, TOP) * STEPS).astype(np.int64)
+
+
+def _give(w: list, cuts: list, views: list[np.ndarray], h: np.ndarray, free: list[np.ndarray]) -> list[np.ndarray]:
+    """The label that each view gives a row, -1 for none; given rows are no longer free.
+
+    A row is given above its label's step, and at it if its hash falls into the share that the quota leaves.
+    """
+    out = []
+    for a in (0, 1):
+        given = np.full(len(h), -1)
+        for label, sure, step in _sides(w[a], views[a]):
+            low, share = cuts[a][label]
+            given[free[a] & sure & ((step > low) | ((step == low) & (h < share)))] = label
+        free[a] &= given < 0
+        out.append(given)
+    return out
+
+
+def _cut(counts: np.ndarray, n: int) -> tuple[int, float]:
+    """The step, and the share of the rows at it, that the ``n`` surest of the counted rows reach."""
+    above = np.cumsum(counts[::-1])[::-1]
+    if above[0] <= n:
+        return -1, 1.0
+    low = int(np.flatnonzero(above > n)[-1])
+    return low, float(n - (above[low] - counts[low])) / float(counts[low])
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, centre: np.ndarray, scale: np.ndarray) -> list[np.ndarray]:
     """Weights of both views' classifiers after the rounds.
 
-    In a round each view gives the other its surest pool rows of either class, in the proportion of
-    the labels; a row given once is not given again.
+    In a round each view gives the other its surest rows of either class from all of ``pool`` (f, s, l, z
+    and h, a hash from 0 to 1), in the proportion of the labels; a row given once is not given again.
     """
     rate = y.mean() if len(y) else 0.5
-    own, marks = [views[0], views[1]], [y, y]
     w = [_fit(v, y) for v in views]
-    free = [np.ones(len(pools[0]), bool), np.ones(len(pools[0]), bool)]
-    quota = max(1, int(SHARE * len(pools[0])))
+    size = pool.count()
+    if size == 0:
+        return w
+    quota = max(1, int(SHARE * size))
+    wanted = {1: int(quota * rate), 0: int(quota * (1 - rate)) + 1}
+    past: list = []
+    given: DataFrame | None = None
+
+    def read(batch: pa.RecordBatch) -> list[np.ndarray]:
+        f = batch.column("f").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(TEXT_FEATURES))
+        return [(f - centre) / scale, _one_hot(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "l", "z")))]
+
     for _ in range(ROUNDS):
-        given = []
-        for a in (0, 1):
-            p = 1 / (1 + np.exp(-_logit(w[a], pools[a])))
-            rows, labels = [], []
-            for label, sure, n in ((1, p, int(quota * rate)), (0, 1 - p, int(quota * (1 - rate)) + 1)):
-                best = np.argsort(-np.where(free[a], sure, -1), kind="stable")[:n]
-                best = best[(sure[best] >= SURE) & free[a][best]]
-                rows.append(best)
-                labels.append(np.full(len(best), float(label)))
-            given.append((np.concatenate(rows), np.concatenate(labels)))
-            free[a][given[a][0]] = False
-        for a, (rows, labels) in enumerate(given):
-            b = 1 - a
-            own[b], marks[b] = np.vstack((own[b], pools[b][rows])), np.concatenate((marks[b], labels))
-        w = [_fit(own[a], marks[a]) for a in (0, 1)]
+
+        def replay(batch: pa.RecordBatch, past=tuple(past)):
+            """Both views of the rows, their hashes, the rows still free, and the labels given last."""
+            x, h = read(batch), batch.column("h").to_numpy(zero_copy_only=False)
+            free, last = [np.ones(len(h), bool), np.ones(len(h), bool)], []
+            for w, cuts in past:
+                last = _give(w, cuts, x, h, free)
+            return x, h, free, last
+
+        def count(batches, w=tuple(w), replay=replay):
+            total = np.zeros((4, TOP * STEPS + 1), np.int64)
+            for batch in batches:
+                x, _, free, _ = replay(batch)
+                for a in (0, 1):
+                    for label, sure, step in _sides(w[a], x[a]):
+                        total[2 * a + label] += np.bincount(step[sure & free[a]], minlength=total.shape[1])
+            kind, step = np.nonzero(total)
+            yield pa.RecordBatch.from_pydict({"kind": kind.astype(np.int32), "step": step.astype(np.int32), "n": total[kind, step]})
+
+        counts = np.zeros((4, TOP * STEPS + 1), np.int64)
+        for r in pool.mapInArrow(count, "kind int, step int, n bigint").groupBy("kind", "step").agg(F.sum("n").alias("n")).collect():
+            counts[r["kind"], r["step"]] = r["n"]
+        cuts = [{label: _cut(counts[2 * a + label], wanted[label]) for label in (0, 1)} for a in (0, 1)]
+        now = (*past, (tuple(w), cuts))
+
+        def choose(batches, now=now, replay=replay):
+            for batch in batches:
+                last = replay(batch, now)[3]
+                keep = pa.array((last[0] >= 0) | (last[1] >= 0))
+                kept = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("f", "s", "l", "z")), pa.array(last[1], pa.int32()), pa.array(last[0], pa.int32())], ["f", "s", "l", "z", "y0", "y1"])
+                yield kept.filter(keep)
+
+        past = list(now)
+        more = materialize(pool.mapInArrow(choose, "f array<double>, s int, l int, z double, y0 int, y1 int"))
+        given = more if given is None else given.unionByName(more)
+        w = _fit_all(views, y, given, read, w)
+    return w
+
+
+def _fit_all(views: list[np.ndarray], y: np.ndarray, given: DataFrame, read, start: list[np.ndarray], ridge: float = 1.0) -> list[np.ndarray]:
+    """Logistic regression of both views over the labelled and all given rows, by Newton steps from ``start``."""
+    w = [v.copy() for v in start]
+    sizes = [len(v) * (len(v) + 1) for v in w]
+    for _ in range(40):
+
+        def add(batches, w=tuple(w)):
+            total = np.zeros(sum(sizes))
+            for batch in batches:
+                parts = []
+                for a, x in enumerate(read(batch)):
+                    mark = batch.column(f"y{a}").to_numpy(zero_copy_only=False)
+                    parts.append(_moments(w[a], x[mark >= 0], mark[mark >= 0]))
+                total += np.concatenate(parts)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "v": total[at]})
+
+        sums = np.concatenate([_moments(w[a], views[a], y) for a in (0, 1)])
+        for r in given.mapInArrow(add, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+            sums[r["at"]] += r["v"]
+        most = 0.0
+        for a, part in enumerate(np.split(sums, [sizes[0]])):
+            n = len(w[a])
+            penalty = np.diag([*[ridge] * (n - 1), 1e-6])
+            step = np.linalg.solve(part[: n * n].reshape(n, n) + penalty, part[n * n :] - penalty @ w[a])
+            w[a] = w[a] + np.clip(step, -5, 5)
+            most = max(most, float(np.abs(step).max()))
+        if most < 1e-6:
+            break
     return w
 
 
@@ -145,7 +251,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     marks = marks.filter(~held_out(F.col("_k"), 4, 0))
     h = F.xxhash64("_k", F.lit(17))
     known = rows.join(marks, "_k").withColumn("cal", held_out(F.col("_k"), 4, 1)).orderBy(h, "_k").limit(LABELLED_ROWS).toPandas()
-    pool = rows.join(labels.select(F.col(key).alias("_k")), "_k", "left_anti").orderBy(h, "_k").limit(POOL_ROWS).toPandas()
+    pool = rows.join(labels.select(F.col(key).alias("_k")), "_k", "left_anti").select("f", "s", "l", "z", (F.pmod(h, F.lit(1 << 30)) / (1 << 30)).alias("h"))
 
     def views(f: pd.DataFrame) -> list[np.ndarray]:
         return [np.array(f["f"].tolist(), float).reshape(-1, len(TEXT_FEATURES)), _one_hot(f["s"].to_numpy(int), f["l"].to_numpy(int), f["z"].to_numpy(float))]
@@ -154,10 +260,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     if len(set(y[cal])) < 2 or len(set(y[~cal])) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return rows.select(F.col("_k").alias(key), *[F.lit(share).alias(c) for c in ("text_score", "page_score", "score")])
-    seen, more = views(known), views(pool)
+    seen = views(known)
     centre, scale = seen[0][~cal].mean(0), seen[0][~cal].std(0) + 1e-9
-    seen[0], more[0] = (seen[0] - centre) / scale, (more[0] - centre) / scale
-    w = co_train([v[~cal] for v in seen], y[~cal], more)
+    seen[0] = (seen[0] - centre) / scale
+    w = co_train([v[~cal] for v in seen], y[~cal], materialize(pool), centre, scale)
     raw = [_logit(w[a], seen[a][cal]) for a in (0, 1)]
     curve = [_fit(r[:, None], y[cal], 0.01) for r in raw]
     flat = np.column_stack([_logit(curve[a], raw[a][:, None]) for a in (0, 1)])

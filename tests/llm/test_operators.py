@@ -343,6 +343,43 @@ def test_co_training_separates_junk(spark):
     assert len(out) == 400
 
 
+def test_every_unlabelled_row_may_be_given(spark, monkeypatch):
+    monkeypatch.setattr(cotraining, "POOL_ROWS", 20, raising=False)
+    monkeypatch.setattr(cotraining, "SHARE", 0.2)
+    rnd = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(900):
+        good = rnd.random() < 0.6
+        bad_words = rnd.integers(0, 25) if good else rnd.integers(15, 40)
+        text = " ".join("###|1" if j < bad_words else "".join(rnd.choice(list("abcdeXY19."), rnd.integers(2, 9))) for j in range(40))
+        rows.append((i, text, "en", f"s{rnd.integers(0, 3) + 2 * int(good)}", int(rnd.integers(1, 10**6)), "x"))
+        if i < 300:
+            labels.append((i, int(good)))
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    # What the rounds must come to is a plain loop over all unlabelled rows.
+    end = []
+    train = cotraining.co_train
+    monkeypatch.setattr(cotraining, "co_train", lambda *a: end.append((a, train(*a))) or end[0][1])
+    cotraining.classify_quality(docs, marks)
+    (views, y, pool, centre, scale), w = end[0]
+    assert pool.count() == 600
+    p = pool.toPandas()
+    pools = [(np.array(p.f.tolist()) - centre) / scale, cotraining._one_hot(p.s.to_numpy(), p.l.to_numpy(), p.z.to_numpy())]
+    own, got = [*views], [y, y]
+    want, free = [cotraining._fit(v, y) for v in views], np.ones((2, 600), bool)
+    for _ in range(cotraining.ROUNDS):
+        for a, part in enumerate([1 / (1 + np.exp(-cotraining._logit(want[a], pools[a]))) for a in (0, 1)]):
+            for label, sure, n in ((1, part, int(120 * y.mean())), (0, 1 - part, int(120 * (1 - y.mean())) + 1)):
+                best = np.argsort(-np.where(free[a], sure, -1), kind="stable")[:n]
+                best = best[(sure[best] >= cotraining.SURE) & free[a][best]]
+                free[a][best] = False
+                own[1 - a], got[1 - a] = np.vstack((own[1 - a], pools[a ^ 1][best])), np.append(got[1 - a], np.full(len(best), label))
+        want = [cotraining._fit(own[a], got[a]) for a in (0, 1)]
+    assert (~free).sum() > 100
+    for a in (0, 1):
+        assert np.abs(cotraining._logit(w[a], pools[a]) - cotraining._logit(want[a], pools[a])).max() < 0.05  # a row or two at a cut may differ
+
+
 def test_quality_of_odd_rows(odd, empty, spark):
     labels = spark.createDataFrame([(4, 1)], "doc_id bigint, quality int")
     assert cotraining.classify_quality(odd, labels).count() == len(ODD)
