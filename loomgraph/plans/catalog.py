@@ -211,6 +211,14 @@ def _dead(spark: SparkSession, d: str) -> DataFrame:
     return G.unreferenced_functions(f, used, used.limit(0))
 
 
+@query()
+def dead_code_all(spark: SparkSession, d: str) -> DataFrame:
+    """``dead_code`` with the names of all internal calls alive; that query's SQL takes a part of them."""
+    f = A.functions(spark, d)
+    used = A.calls(spark, d).filter("kind = 'internal'").join(f.select(F.col("id").alias("callee"), "name"), "callee")
+    return G.unreferenced_functions(f, used, used.limit(0)).select("id", "name", "reason", "class")
+
+
 @query(_DEAD + " SELECT id, name, reason, CASE WHEN reason IS NOT NULL THEN 'excluded' WHEN is_exported THEN 'public' ELSE 'strong' END AS class FROM u")
 def dead_code(spark: SparkSession, d: str) -> DataFrame:
     return _dead(spark, d).select("id", "name", "reason", "class")

@@ -164,3 +164,16 @@ def test_test_commands(spark):
     assert command("rspec", "a_spec.rb", "x", None, 7, gemfile=True) == "bundle exec rspec a_spec.rb:7"
     assert command("xctest", "A.swift", "testA", "ATests", swift_package=True) == "swift test --filter ATests/testA"
     assert command("unknown", "x") == "<runner> x"
+
+
+def test_dead_code_all_counts_every_internal_call(spark, tmp_path):
+    from loomgraph.plans import catalog
+
+    part = [(i, f"f{i}", "B", "T", 1) for i in range(60)]
+    # Line 2 calls 50, line 1 calls 45, an external call names 55.
+    item = [(0, 2, 1, 50, "O", "N"), (0, 1, 2, 45, "O", "N"), (0, 1, 3, 55, "F", "N")]
+    spark.createDataFrame(part, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(item, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_linestatus string, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    dead = {r.id for r in catalog.QUERIES["dead_code_all"](spark, str(tmp_path)).collect()}
+    assert dead == set(range(60)) - {45, 50}
+    assert {45, 50} <= {r.id for r in catalog.QUERIES["dead_code"](spark, str(tmp_path)).collect()}
