@@ -177,3 +177,23 @@ def test_dead_code_all_counts_every_internal_call(spark, tmp_path):
     dead = {r.id for r in catalog.QUERIES["dead_code_all"](spark, str(tmp_path)).collect()}
     assert dead == set(range(60)) - {45, 50}
     assert {45, 50} <= {r.id for r in catalog.QUERIES["dead_code"](spark, str(tmp_path)).collect()}
+
+
+def test_weights_and_calls_of_all_ids(spark, tmp_path):
+    from math import log
+
+    from loomgraph.plans import catalog
+
+    texts = {1: "a a b", 2: "b c", 20: "b"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    events = [(i, "x" if i % 2 else "y", i % 3) for i in range(1, 11)]
+    spark.createDataFrame(events, "event_id bigint, event_type string, user_id bigint").write.parquet(f"{tmp_path}/events.parquet")
+    out = {(r.fn_id, r.feature): r.weight for r in catalog.QUERIES["tfidf_weights_all"](spark, str(tmp_path)).collect()}
+    rare, common = log(4 / 2) + 1, log(4 / 4) + 1
+    want = {(1, "a"): (1 + log(2)) * rare, (1, "b"): common, (2, "b"): common, (2, "c"): rare, (20, "b"): common}
+    assert out == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    assert {r.fn_id for r in catalog.QUERIES["tfidf_weights"](spark, str(tmp_path)).collect()} == {20}
+    first = {(t, u): min(i for i, *x in events if x == [t, u]) for _, t, u in events}
+    calls = sorted((i, first[t, u], i % 3 != 0) for i, t, u in events)
+    assert got(catalog.QUERIES["correlate_rpc_all"](spark, str(tmp_path)), "client_id", "endpoint_id", "high") == calls
+    assert {r.client_id for r in catalog.QUERIES["correlate_rpc"](spark, str(tmp_path)).collect()} == {5, 10}
