@@ -431,6 +431,18 @@ def bridge_map(spark: SparkSession, d: str) -> DataFrame:
     return C.bridge_matches(calls, n)
 
 
+@query()
+def bridge_map_all(spark: SparkSession, d: str) -> DataFrame:
+    """``bridge_map`` of all orders and customers; that query's SQL takes small ids only."""
+    c, o = A.load(spark, d, "customer"), A.load(spark, d, "orders")
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    n = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("method"), text("N", F.col("c_nationkey")).alias("module"), text("A", F.col("c_custkey") % 7).alias("alias"))
+    k = F.col("o_orderkey")
+    method = F.when(k % 5 == 0, "BUILDING").when(k % 5 == 1, "MACHINERY").otherwise("AUTOMOBILE")
+    module = F.when(k % 3 == 1, text("N", F.col("o_custkey") % 25)).when(k % 3 == 2, text("A", F.col("o_custkey") % 7))
+    return C.bridge_matches(o.select(k.alias("id"), method.alias("method"), module.alias("module"), (F.col("o_orderstatus") == "F").alias("high")), n)
+
+
 @query("""SELECT d.doc_id, coalesce(l.quality = 1, d.doc_id % 2 = 0) AS high, CASE WHEN l.quality = 0 THEN 'external' ELSE 'internal' END AS kind FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def lsp_rewrite(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = A.load(spark, d, "documents"), A.load(spark, d, "labels")

@@ -197,3 +197,15 @@ def test_weights_and_calls_of_all_ids(spark, tmp_path):
     calls = sorted((i, first[t, u], i % 3 != 0) for i, t, u in events)
     assert got(catalog.QUERIES["correlate_rpc_all"](spark, str(tmp_path)), "client_id", "endpoint_id", "high") == calls
     assert {r.client_id for r in catalog.QUERIES["correlate_rpc"](spark, str(tmp_path)).collect()} == {5, 10}
+
+
+def test_bridge_map_all_takes_large_ids(spark, tmp_path):
+    from loomgraph.plans import catalog
+
+    spark.createDataFrame([(1, "BUILDING", 3), (700, "BUILDING", 4), (701, "MACHINERY", 4)], "c_custkey bigint, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    # No module, module N4, module A1 (700 % 7 = 0, 701 % 7 = 1), no module.
+    orders = [(15, 1, "F"), (6010, 4, "F"), (3011, 8, "F"), (3000, 1, "O")]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    out = got(catalog.QUERIES["bridge_map_all"](spark, str(tmp_path)), "call_id", "native_id", "high")
+    assert out == [(15, 1, False), (15, 700, False), (3000, 1, False), (3000, 700, False), (3011, 701, True), (6010, 700, True)]
+    assert got(catalog.QUERIES["bridge_map"](spark, str(tmp_path)), "call_id", "native_id") == [(15, 1)]
