@@ -369,6 +369,12 @@ def call_path(spark: SparkSession, d: str) -> DataFrame:
     return traverse.call_path(A.sparse_calls(spark, d), 0, 42, 6)
 
 
+@query()
+def blast_radius_all(spark: SparkSession, d: str) -> DataFrame:
+    """``blast_radius`` over all internal calls; that query's SQL takes one line of each order."""
+    return traverse.blast_radius(traverse.reverse_edges(A.calls(spark, d)), SEEDS, DEPTH).select("id", "depth", "high")
+
+
 _RING = """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, ts FROM events"""
 
 

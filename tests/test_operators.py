@@ -209,3 +209,14 @@ def test_bridge_map_all_takes_large_ids(spark, tmp_path):
     out = got(catalog.QUERIES["bridge_map_all"](spark, str(tmp_path)), "call_id", "native_id", "high")
     assert out == [(15, 1, False), (15, 700, False), (3000, 1, False), (3000, 700, False), (3011, 701, True), (6010, 700, True)]
     assert got(catalog.QUERIES["bridge_map"](spark, str(tmp_path)), "call_id", "native_id") == [(15, 1)]
+
+
+def test_blast_radius_all_follows_every_line(spark, tmp_path):
+    from loomgraph.plans import catalog
+
+    spark.createDataFrame([(i,) for i in range(20)], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    # 5 calls 0 on line 1, 6 calls 5 on line 2, an external call of 7.
+    item = [(0, 1, 5, 0, "O", "N"), (0, 2, 6, 5, "O", "N"), (0, 3, 7, 1, "F", "N")]
+    spark.createDataFrame(item, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_linestatus string, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert got(catalog.QUERIES["blast_radius_all"](spark, str(tmp_path)), "id", "depth", "high") == [(5, 1, True), (6, 2, True)]
+    assert got(catalog.QUERIES["blast_radius"](spark, str(tmp_path)), "id") == [(5,)]
