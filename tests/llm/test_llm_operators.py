@@ -317,6 +317,63 @@ def test_toxic_words_score_high(spark):
     assert all(0 <= s <= 1 for s in out.values()) and out[1000] == out[1001] == out[1002] < 0.7
 
 
+def plain_ratios(train, words):
+    """log P(toxic) - log P(ordinary) of each word by Kneser-Ney models in plain loops; ``train`` has (words, toxic)."""
+    from collections import Counter
+    from math import log
+
+    n, d = toxicity.ORDER, toxicity.DISCOUNT
+    spell = lambda w: "^" * (n - 1) + w + "^"
+    grams = lambda w: [spell(w)[i - n + 1 : i + 1] for i in range(n - 1, len(spell(w)))]
+    own = [Counter(), Counter()]
+    for ws, toxic in train:
+        own[toxic].update(g for w in ws for g in grams(w))
+    level, shared = set(own[0]) | set(own[1]), {}
+    for k in range(n - 1, 0, -1):
+        shared[k] = Counter(g[1:] for g in level)
+        level = set(shared[k])
+
+    def backed(counts, g, lower):
+        after = {x: c for x, c in counts.items() if x[:-1] == g[:-1] and c}
+        total = sum(after.values())
+        return (max(counts.get(g, 0) - d, 0) + d * len(after) * lower) / total if total else lower
+
+    def ratio(g):
+        p = 1 / 1024
+        for k in range(1, n):
+            p = backed(shared[k], g[-k:], p)
+        return log(backed(own[1], g, p)) - log(backed(own[0], g, p))
+
+    return [sum(map(ratio, grams(w))) for w in words]
+
+
+@pytest.mark.parametrize("rows", [1 << 21, 300])
+def test_ratios_equal_plain_kneser_ney(spark, monkeypatch, rows):
+    monkeypatch.setattr(toxicity, "PART_ROWS", rows)
+    rnd = random.Random(11)
+    make = lambda a: "".join(rnd.choice(a) for _ in range(rnd.randint(1, 7)))
+    train = [(i, [make("abé") if i % 3 else make("abx") for _ in range(12)], int(i % 3 == 0)) for i in range(15)]
+    labelled = spark.createDataFrame([(" ".join(ws), t, i % toxicity.FOLDS) for i, ws, t in train], "text string, toxic int, fold int")
+    model = common.materialize(toxicity.model_table(toxicity.count_grams(labelled)))
+    asked = ["abé", "x", "bax", "zebra", "ab xa-b x"]
+    rows = spark.createDataFrame([(t, t, toxicity.FOLDS) for t in asked], "k string, text string, model int")
+    got = {r.k: r.ratio for r in toxicity.score_texts(rows, model).collect()}
+    for t in asked:
+        assert abs(got[t] - max(plain_ratios([(ws, t) for _, ws, t in train], t.replace("-", " ").split()))) < 1e-4
+    assert got["zebra"] != 0
+
+
+def test_strongest_part_of_a_text():
+    x = np.arange(100.0)
+    assert toxicity.strongest_mean(x) == np.mean([96, 97, 98, 99]) and toxicity.strongest_mean(x[:5]) == 4 and toxicity.strongest_mean(x[:0]) == 0
+
+
+def test_isotonic_curve():
+    places, chances = toxicity.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 1]))
+    assert places == sorted(places) and chances == sorted(chances) and chances[0] < 0.3 < 0.6 < chances[-1]
+    assert toxicity.isotonic(np.zeros(0), np.zeros(0)) == ([0.0], [0.02])
+
+
 def test_toxicity_without_labels(odd, empty, spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert all(r.score < 0.5 for r in toxicity.score_toxicity(odd, none).collect())
