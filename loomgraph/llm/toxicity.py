@@ -242,8 +242,10 @@ def score_texts(rows: DataFrame, model: DataFrame) -> DataFrame:
     columns = [f"r{m}" for m in range(FOLDS + 1)]
     now = rows.select("k", "text", "model", F.lit(None).cast("array<float>").alias("sums"))
     for part in range(parts):
-        table = pieces.filter(F.col("part") == part).select("key", *columns).toPandas()
-        sent = spark.sparkContext.broadcast((table["key"].to_numpy(np.int64), table[columns].to_numpy(np.float32)))
+        table = pieces.filter(F.col("part") == part).select("key", F.array(*columns).alias("r")).toArrow()
+        values = table["r"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FOLDS + 1)
+        sent = spark.sparkContext.broadcast((table["key"].to_numpy(), values))
+        del table, values
         held: list[Part] = []
         last = part == parts - 1
 
