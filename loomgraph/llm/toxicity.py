@@ -48,6 +48,8 @@ _MASK = (1 << SYMBOL_BITS) - 1
 #: Marks the key of a context among those of n-grams.
 _CONTEXT = 1 << 62
 CHUNK_CHARS = 1 << 20
+#: N-grams that a task counts before it passes the counts on.
+TALLY_GRAMS = 1 << 22
 _POWER = 0x5851F42D4C957F2D
 _POWER_INVERSE = pow(_POWER, -1, 1 << 64)
 _SCATTER = np.random.default_rng(20240118).integers(1, 2**63, _MASK + 1, dtype=np.uint64)
@@ -110,20 +112,28 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     """(gram, n0, n1, ...): counts by 2 * fold + toxic, from columns text, toxic and fold."""
     kinds = 2 * FOLDS
 
+    def summed(codes: list, of: list) -> pd.DataFrame:
+        code, kind = np.concatenate(codes), np.concatenate(of)
+        order = np.lexsort((kind, code))
+        code, kind = code[order], kind[order]
+        at = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (kind[1:] != kind[:-1]))))
+        return pd.DataFrame({"gram": code[at], "kind": kind[at].astype(np.int32), "n": np.diff(np.append(at, len(code)))})
+
     def tally(frames):
+        codes, of, used = [], [], 0
         for f in frames:
-            kind = (2 * f["fold"] + f["toxic"]).to_numpy(np.int64)
-            parts = []
+            kind = (2 * f["fold"] + f["toxic"]).to_numpy(np.int8)
             for low, run in _chunks(f["text"].tolist()):
                 s, starts, stops, n = _words(run)
                 code, sizes = _codes(s, starts, stops)
-                of = np.repeat(np.repeat(kind[low : low + len(run)], n), sizes)
-                order = np.lexsort((of, code))
-                parts.append((code[order], of[order]))
-            for code, of in parts:
-                if len(code):
-                    at = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (of[1:] != of[:-1]))))
-                    yield pd.DataFrame({"gram": code[at], "kind": of[at].astype(np.int32), "n": np.diff(np.append(at, len(code)))})
+                codes.append(code)
+                of.append(np.repeat(np.repeat(kind[low : low + len(run)], n), sizes))
+                used += len(code)
+                if used >= TALLY_GRAMS:
+                    yield summed(codes, of)
+                    codes, of, used = [], [], 0
+        if used:
+            yield summed(codes, of)
 
     parts = labelled.select("text", F.col("toxic").cast("int"), F.col("fold").cast("int")).mapInPandas(tally, "gram bigint, kind int, n bigint")
     return parts.groupBy("gram").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(kinds)])
@@ -315,7 +325,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from=None, key: str
     the condition ``learn_from`` holds are learnt from.  A key with several labels counts once for each, as
     does each of several rows of one key.  Null, empty and wordless texts get the curve's value at no
     evidence.  Without labels of both kinds all scores are near 0, or near 1.  The curve is fitted on
-    ``calibration_rows`` labelled rows in hash order at most; all else takes all rows.
+    the documents of ``calibration_rows`` labels in hash order at most; all else takes all rows.
     """
     bound_batches(docs.sparkSession)
     marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("k").isNotNull())
@@ -325,7 +335,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from=None, key: str
     body = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
     labelled = body.join(marks.hint("shuffle_hash"), "k")
     model = materialize(model_table(materialize(count_grams(labelled))))
-    sample = materialize(labelled.orderBy(F.xxhash64("k", F.lit(3)), "k", "toxic", F.xxhash64("text")).limit(calibration_rows))
+    # At most ``calibration_rows`` rows, so they may go to the documents.
+    some = materialize(marks.orderBy(F.xxhash64("k", F.lit(3)), "k", "toxic").limit(calibration_rows))
+    sample = materialize(body.join(F.broadcast(some), "k"))
     crossed = score_texts(sample.select(F.struct("k", "toxic").alias("k"), "text", F.col("fold").alias("model")), model).select("k.toxic", "ratio").toPandas()
     curve = isotonic(crossed["ratio"].to_numpy(float), crossed["toxic"].to_numpy(float))
     scored = score_texts(body.select("k", "text", F.lit(FOLDS).alias("model")), model)
