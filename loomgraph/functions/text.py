@@ -14,36 +14,36 @@ from pyspark.sql import functions as F
 
 #: Leading verbs of identifiers by the bucket they stand for.
 VERBS = {
-    "READ": "fetch get load retrieve read find query lookup list scan search",
+    "READ": "fetch get load retrieve read find query lookup list scan search peek view resolve",
     "WRITE": "create insert add save store persist write put append record",
-    "DELETE": "delete remove drop clear purge destroy erase",
-    "CHECK": "check validate verify assert ensure expect is has can should",
-    "EMIT": "send emit publish dispatch notify broadcast post trigger",
-    "PARSE": "parse decode deserialize unmarshal extract",
-    "FORMAT": "format encode serialize marshal stringify escape",
-    "UPDATE": "update set modify patch mutate change edit replace",
-    "INIT": "init initialize setup configure register bootstrap install",
+    "DELETE": "delete remove drop clear purge destroy erase evict unlink discard",
+    "CHECK": "check validate verify assert ensure expect is has can should confirm guard contains matches equals exists",
+    "EMIT": "send emit publish dispatch notify broadcast post trigger fire signal announce",
+    "PARSE": "parse decode deserialize unmarshal extract unserialize unpack interpret",
+    "FORMAT": "format encode serialize marshal stringify escape pack",
+    "UPDATE": "update set modify patch mutate change edit replace assign toggle increment decrement bump",
+    "INIT": "init initialize setup configure register bootstrap install prepare provision seed",
     "EXEC": "handle process execute run apply invoke perform do call exec",
-    "AUTH": "auth login logout authenticate authorize",
-    "COMPUTE": "count sum aggregate reduce compute calculate average score",
+    "AUTH": "auth login logout authenticate authorize signin signout signup",
+    "COMPUTE": "count sum aggregate reduce compute calculate average score calc measure total tally",
     "CONNECT": "open connect listen dial accept subscribe",
-    "CLOSE": "close disconnect shutdown stop cancel abort terminate kill",
+    "CLOSE": "close disconnect shutdown stop cancel abort terminate kill dispose teardown unsubscribe halt",
     "START": "start begin launch spawn resume restart",
     "COPY": "copy clone duplicate snapshot",
     "MERGE": "merge join combine concat union zip",
-    "FILTER": "filter select pick exclude omit reject",
+    "FILTER": "filter select pick exclude omit reject prune dedupe distinct",
     "SORT": "sort order rank arrange",
-    "TRANSFORM": "map transform convert cast normalize translate migrate",
-    "WAIT": "wait sleep delay poll retry block await",
+    "TRANSFORM": "map transform convert cast normalize translate migrate adapt coerce flatten invert reverse wrap unwrap",
+    "WAIT": "wait sleep delay poll retry block await defer debounce throttle timeout",
     "LOG": "log trace debug warn report audit",
-    "SHOW": "render draw display show print plot",
-    "TEST": "test mock stub fake spy bench",
+    "SHOW": "render draw display show print plot paint visualize highlight",
+    "TEST": "test mock stub fake spy bench benchmark fuzz",
     "LOCK": "lock acquire release unlock",
-    "CRYPTO": "hash sign encrypt decrypt digest",
+    "CRYPTO": "hash sign encrypt decrypt digest cipher hmac",
     "XFER": "upload download sync push pull import export",
-    "BUILD": "build make generate produce derive compile new",
+    "BUILD": "build make generate produce derive compile new assemble construct",
     "BIND": "bind attach mount wire inject hook link",
-    "SPLIT": "split tokenize chunk slice partition segment",
+    "SPLIT": "split tokenize chunk slice partition segment divide",
 }
 VERB_BUCKETS = {v: k for k, vs in VERBS.items() for v in vs.split()}
 

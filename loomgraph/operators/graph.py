@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.plans.lineage import materialize
 
 
 def search_functions(functions: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -100,10 +101,11 @@ def assign_ids(rows: DataFrame, order: list, name: str = "id") -> DataFrame:
     """Dense 0-based ids in a global order, without sending all rows to one task.
 
     Rows are range-partitioned and sorted; a row's id is the number of rows in earlier partitions,
-    from a table with one row per partition, plus its place in its own.
+    from a table with one row per partition, plus its place in its own.  Partitions are written with their
+    numbers first: a range shuffle that is computed twice may be cut elsewhere.
     """
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = placed.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    placed = materialize(placed.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     within = Window.partitionBy("_p").orderBy("_m")
     counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -75,7 +75,9 @@ class Server:
         except ValueError:
             return json.dumps(self._error(None, -32700, "parse error"))
         if isinstance(m, list):
-            answers = [a for x in m if (a := self.one(x)) is not None] if m else [self._error(None, -32600, "empty batch")]
+            if not m:
+                return json.dumps(self._error(None, -32600, "empty batch"))
+            answers = [a for x in m if (a := self.one(x)) is not None]
             return json.dumps(answers) if answers else None
         answer = self.one(m)
         return None if answer is None else json.dumps(answer)

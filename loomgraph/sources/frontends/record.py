@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 
+import regex
+
 _LITS = "array<struct<index:int,key:string,kind:string,text:string>>"
 _CALLS = f"array<struct<name:string,receiver:string,line:int,arg_count:int,start:int,end:int,name_line:int,name_col:int,arg_lits:{_LITS},type_args:array<string>,assigned_to:string>>"
 _DECOS = f"array<struct<name:string,line:int,arg_lits:{_LITS}>>"
@@ -21,13 +23,14 @@ SCHEMA = (
 MAX_LITS, MAX_TEXT, MAX_CONSTS, MAX_FIELDS, MAX_LOCALS = 10, 200, 200, 400, 64
 TOPLEVEL = "(toplevel)"
 
-_SPLIT = [re.compile(p) for p in (r"([A-Z]+)([A-Z][a-z])", r"([a-z])([A-Z])", r"([A-Za-z])([0-9])", r"([0-9])([A-Za-z])")]
+_SPLIT = [regex.compile(p) for p in (r"(\p{Lu}+)(\p{Lu}\p{Ll})", r"(\p{Ll})(\p{Lu})", r"(\p{L})(\p{N})", r"(\p{N})(\p{L})")]
+_BREAK = regex.compile(r"[^\p{L}\p{N}]+")
 
 
 def words_of(name: str) -> list[str]:
     for p in _SPLIT:
         name = p.sub(r"\1 \2", name)
-    return [w for w in re.split(r"[^a-z0-9]+", name.lower()) if w]
+    return [w for w in _BREAK.split(name.lower()) if w]
 
 
 def simple_type(t: str | None) -> str | None:

@@ -7,7 +7,7 @@ import json
 import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -104,6 +104,16 @@ def ignored(path: str, rules: list[tuple[str, str, bool]]) -> bool:
     return hit
 
 
+def lossy_text(content: Column) -> Column:
+    """UTF-8 text of bytes that need not be valid; invalid ones become U+FFFD.  Only they go through Python."""
+    valid = F.try_validate_utf8(content.cast("string"))
+
+    def decode(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
+
+    return F.coalesce(valid, F.pandas_udf(decode, "string")(F.when(valid.isNull(), content)))
+
+
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, language, size, content, content_hash) of the files of a tree that hold source text.
 
@@ -120,9 +130,7 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
         files = files.filter(~left_out("path"))
     languages = F.create_map(*[F.lit(x) for kv in LANGUAGE_OF.items() for x in kv])
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.select("path", languages[ext].alias("language"), F.col("length").alias("size"), F.expr("try_validate_utf8(cast(content as string))").alias("_ok"), "content").select(
-        "path", "language", "size", F.coalesce("_ok", F.decode("content", "UTF-8")).alias("content"), F.xxhash64("content").alias("content_hash")
-    )
+    return files.select("path", languages[ext].alias("language"), F.col("length").alias("size"), lossy_text(F.col("content")).alias("content"), F.xxhash64("content").alias("content_hash"))
 
 
 def fingerprint(spark: SparkSession, root: str, version: str = "1") -> str:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from loomgraph.operators.touches import SCHEMA as TOUCH
 from loomgraph.operators.touches import trim
 from loomgraph.plans import index
+from loomgraph.sources.scan import lossy_text
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -17,7 +18,7 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 def watch(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """New and changed files of a folder, as they appear."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return files.select("path", F.decode("content", "UTF-8").alias("content"), F.xxhash64("content").alias("content_hash"))
+    return files.select("path", lossy_text(F.col("content")).alias("content"), F.xxhash64("content").alias("content_hash"))
 
 
 def refresh(stream: DataFrame, language: str, table: str, checkpoint: str):

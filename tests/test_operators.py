@@ -40,14 +40,6 @@ def test_call_path_takes_the_first_found(spark):
     assert traverse.call_path(c, 1, 1).count() == 0
 
 
-def test_effect_features(spark):
-    f = spark.createDataFrame([(i, n, False) for i, n in enumerate("abcd")], "id bigint, name string, is_toplevel boolean")
-    c = calls(spark, [(0, 1), (1, 2), (2, 3), (0, 2)]).withColumn("package", F.lit(None).cast("string"))
-    c = c.unionByName(spark.createDataFrame([(9, 2, None, 1, "external", True, "pg")], c.schema))
-    out = traverse.effect_features(f, c)
-    assert got(out.filter("fn_id = 0"), "feature", "tf") == [("eff:b", 4), ("eff:c", 4), ("eff:d", 2), ("effpkg:pg", 4)]
-
-
 ENDPOINTS = "id bigint, kind string, method string, path_norm string, high boolean"
 
 
@@ -166,57 +158,48 @@ def test_test_commands(spark):
     assert command("unknown", "x") == "<runner> x"
 
 
-def test_dead_code_all_counts_every_internal_call(spark, tmp_path):
-    from loomgraph.plans import catalog
-
-    part = [(i, f"f{i}", "B", "T", 1) for i in range(60)]
-    # Line 2 calls 50, line 1 calls 45, an external call names 55.
-    item = [(0, 2, 1, 50, "O", "N"), (0, 1, 2, 45, "O", "N"), (0, 1, 3, 55, "F", "N")]
-    spark.createDataFrame(part, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    spark.createDataFrame(item, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_linestatus string, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
-    dead = {r.id for r in catalog.QUERIES["dead_code_all"](spark, str(tmp_path)).collect()}
-    assert dead == set(range(60)) - {45, 50}
-    assert {45, 50} <= {r.id for r in catalog.QUERIES["dead_code"](spark, str(tmp_path)).collect()}
-
-
-def test_weights_and_calls_of_all_ids(spark, tmp_path):
-    from math import log
-
-    from loomgraph.plans import catalog
-
-    texts = {1: "a a b", 2: "b c", 20: "b"}
-    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    events = [(i, "x" if i % 2 else "y", i % 3) for i in range(1, 11)]
-    spark.createDataFrame(events, "event_id bigint, event_type string, user_id bigint").write.parquet(f"{tmp_path}/events.parquet")
-    out = {(r.fn_id, r.feature): r.weight for r in catalog.QUERIES["tfidf_weights_all"](spark, str(tmp_path)).collect()}
-    rare, common = log(4 / 2) + 1, log(4 / 4) + 1
-    want = {(1, "a"): (1 + log(2)) * rare, (1, "b"): common, (2, "b"): common, (2, "c"): rare, (20, "b"): common}
-    assert out == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
-    assert {r.fn_id for r in catalog.QUERIES["tfidf_weights"](spark, str(tmp_path)).collect()} == {20}
-    first = {(t, u): min(i for i, *x in events if x == [t, u]) for _, t, u in events}
-    calls = sorted((i, first[t, u], i % 3 != 0) for i, t, u in events)
-    assert got(catalog.QUERIES["correlate_rpc_all"](spark, str(tmp_path)), "client_id", "endpoint_id", "high") == calls
-    assert {r.client_id for r in catalog.QUERIES["correlate_rpc"](spark, str(tmp_path)).collect()} == {5, 10}
-
-
-def test_bridge_map_all_takes_large_ids(spark, tmp_path):
-    from loomgraph.plans import catalog
-
-    spark.createDataFrame([(1, "BUILDING", 3), (700, "BUILDING", 4), (701, "MACHINERY", 4)], "c_custkey bigint, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
-    # No module, module N4, module A1 (700 % 7 = 0, 701 % 7 = 1), no module.
-    orders = [(15, 1, "F"), (6010, 4, "F"), (3011, 8, "F"), (3000, 1, "O")]
-    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
-    out = got(catalog.QUERIES["bridge_map_all"](spark, str(tmp_path)), "call_id", "native_id", "high")
-    assert out == [(15, 1, False), (15, 700, False), (3000, 1, False), (3000, 700, False), (3011, 701, True), (6010, 700, True)]
-    assert got(catalog.QUERIES["bridge_map"](spark, str(tmp_path)), "call_id", "native_id") == [(15, 1)]
-
-
-def test_blast_radius_all_follows_every_line(spark, tmp_path):
-    from loomgraph.plans import catalog
-
-    spark.createDataFrame([(i,) for i in range(20)], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
-    # 5 calls 0 on line 1, 6 calls 5 on line 2, an external call of 7.
-    item = [(0, 1, 5, 0, "O", "N"), (0, 2, 6, 5, "O", "N"), (0, 3, 7, 1, "F", "N")]
-    spark.createDataFrame(item, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_linestatus string, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert got(catalog.QUERIES["blast_radius_all"](spark, str(tmp_path)), "id", "depth", "high") == [(5, 1, True), (6, 2, True)]
-    assert got(catalog.QUERIES["blast_radius"](spark, str(tmp_path)), "id") == [(5,)]
+def test_effect_features_add_up_per_call_and_bucket(spark):
+    names = ["root", "fetchUser", "loadAll", "zap", "(toplevel)"]
+    f = spark.createDataFrame([(i, n, n == "(toplevel)") for i, n in enumerate(names)], "id bigint, name string, is_toplevel boolean")
+    rows = [(0, 0, 1, "internal", None), (1, 0, 1, "internal", None), (2, 0, 2, "internal", None), (3, 0, 4, "internal", None), (4, 1, 3, "internal", None), (5, 3, 0, "internal", None), (6, 3, None, "external", "pg"), (7, 0, None, "external", "own")]
+    c = spark.createDataFrame(rows, "idx bigint, caller bigint, callee bigint, kind string, package string")
+    out = {(r.fn_id, r.feature): r.tf for r in traverse.effect_features(f, c).collect()}
+    assert {k[1]: v for k, v in out.items() if k[0] == 0} == {"eff:READ": 12, "eff:zap": 2, "eff:root": 1, "effpkg:pg": 4, "effpkg:own": 4}
+    # With room for one callee a level, the first found goes on; what the level calls still counts.
+    few = {(r.fn_id, r.feature): r.tf for r in traverse.effect_features(f, c.filter("idx <> 1"), fan=1).collect()}
+    assert few[0, "eff:READ"] == 8 and few[0, "eff:zap"] == 2
+
+
+def test_more_seeds_than_the_cap(spark):
+    e = edges(spark, [(i, 100 + i, True, "call", i) for i in range(8)])
+    out = traverse.blast_radius(e, range(8), 3, mode="fifo", cap=5)
+    assert out.count() == 5
+
+
+def test_wildcards_on_both_sides_meet_by_key(spark):
+    routes = ["/a/{*}/c", "/{*}/b/c", "/a/b/{*}", "/x/y", "/{*}/{*}", "/a"]
+    calls_ = ["/a/{*}/c", "/{*}/b/{*}", "/x/{*}", "/a/b/c", "/{*}", "/q/{*}/c"]
+    e = spark.createDataFrame([(i, "http", "GET", p, True) for i, p in enumerate(routes)], "id bigint, kind string, method string, path_norm string, high boolean")
+    c = spark.createDataFrame([(i, "http", "GET", p, True) for i, p in enumerate(calls_)], "id bigint, kind string, method string, path_norm string, high boolean")
+
+    def agree(p, q):
+        x, y = p.strip("/").split("/"), q.strip("/").split("/")
+        return len(x) == len(y) and all(a == b or "{*}" in (a, b) for a, b in zip(x, y, strict=True))
+
+    want = sorted((i, j) for i, p in enumerate(calls_) for j, q in enumerate(routes) if agree(p, q))
+    assert got(C.correlate_exact(c, e), "client_id", "endpoint_id") == want
+    plan = C.correlate_exact(c, e)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+
+
+def test_verbs_of_every_bucket():
+    from loomgraph.functions import text
+
+    for verb, bucket in {"view": "READ", "unlink": "DELETE", "equals": "CHECK", "fire": "EMIT", "unpack": "PARSE", "pack": "FORMAT", "toggle": "UPDATE", "seed": "INIT", "signup": "AUTH", "tally": "COMPUTE", "halt": "CLOSE", "prune": "FILTER", "coerce": "TRANSFORM", "defer": "WAIT", "paint": "SHOW", "fuzz": "TEST", "cipher": "CRYPTO", "construct": "BUILD", "divide": "SPLIT"}.items():
+        assert text.VERB_BUCKETS[verb] == bucket
+
+
+def test_words_of_any_script():
+    from loomgraph.sources.frontends.record import words_of
+
+    assert words_of("chargerÉtéHTTPUrl2x") == ["charger", "été", "http", "url", "2", "x"]
