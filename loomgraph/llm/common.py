@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII blanks separate words; everything else is part of one.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: Edges from which a node may count as a hub, how many hubs may be told apart, and the tasks one is dealt to.
+HUB_EDGES, HUBS, HUB_SALTS = 1000, 5000, 32
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,13 +73,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     flat = materialize(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).filter("v <> u").distinct())
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, most: int) -> DataFrame:
         out = e.select(F.col("v").alias("x"), F.col("u").alias("y"))
         if large:
             out = out.union(e.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        low = out.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        low = out.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+        # Centres of very many edges, 2 * HUBS at most as every edge has two ends, are dealt to several tasks.
+        hub = low.filter(F.col("n") > max(HUB_EDGES, most // HUBS)).select("x", F.lit(True).alias("hub"))
+        salts = F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))).otherwise(F.array(F.lit(0)))
+        low = low.join(F.broadcast(hub), "x", "left").select("x", "m", F.explode(salts).alias("salt"))
         kept = out.filter("y > x") if large else out
-        moved = kept.join(low, "x").select(F.col("y").alias("v"), F.col("m").alias("u"))
+        salt = F.when(F.col("hub"), F.pmod(F.xxhash64("y"), F.lit(HUB_SALTS)).cast("int")).otherwise(0)
+        kept = kept.join(F.broadcast(hub), "x", "left").select("x", "y", salt.alias("salt"))
+        moved = kept.join(low, ["x", "salt"]).select(F.col("y").alias("v"), F.col("m").alias("u"))
         if not large:
             moved = moved.union(low.select(F.col("x").alias("v"), F.col("m").alias("u")))
         return moved.filter("v <> u").distinct()
@@ -87,7 +95,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     last = print_of(flat)
     while last[0]:
-        flat = materialize(star(star(flat, True), False))
+        flat = materialize(star(star(flat, True, last[0]), False, last[0]))
         now = print_of(flat)
         if now == last:
             break

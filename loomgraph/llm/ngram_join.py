@@ -3,9 +3,9 @@
 A link needs an overlap of ``percent`` of the larger set, so both ends consist of shared shingles for
 the most part.  Four steps narrow the table down without ever pairing it up:
 
-1. Tasks send each batch's distinct shingles, packed and cut by hash range, to one place per
-   range, which counts for every document how many of its shingles stand in another one.
-   Documents below ``percent`` cannot link.
+1. In the order of their hashes, the first shingles of two sets that link hold a least number of common
+   ones.  Tasks send these prefixes, each shingle of a batch once, to be counted by shingle; documents
+   whose prefix shares fewer cannot link.
 2. The rest, one per identical set, order their shingles from rare to frequent.  Two that link share
    one of the first few (prefix filter); each prefix shingle ties its documents of like size to
    the smallest of them, a linear number of ties, whose components are the blocks.
@@ -21,56 +21,24 @@ import math
 
 import numpy as np
 import pandas as pd
-import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from loomgraph.llm.common import bound_batches, connected_components, load, materialize
 from loomgraph.llm.textkit import BLANKS, batches, mix, shingle_hashes, word_hashes
 
 SHINGLE, PERCENT = 4, 85
-#: Bytes of text whose shingles one hash range collects, and tokens that one batch packs.
-RANGE_BYTES, BATCH_TOKENS = 12 << 20, 1_000_000
-#: Ranges at least, so that a document's shingles are spread alike over them at small sizes.
-MIN_RANGES = 64
+#: Shingles of one batch, of which each is sent on once.
+BATCH_TOKENS = 1_000_000
+#: Parts that a group of copies, or the documents of one shingle, are dealt to before they meet.
+SALTS = 64
 #: Documents of a chunk; a cell compares two chunks at most.
 CHUNK_DOCS, CHUNK_SHINGLES = 512, 2_000_000
 #: Weight of a binary probe against a merge step, DivideSkip's parameter.
 PROBE_WEIGHT = 0.1
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Little integers pack well plane by plane: high bytes are mostly zero."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *map(len, arrays)], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(map(_planes, arrays)))
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    count = int(raw[:8].view("<u8")[0])
-    sizes = raw[8 : 8 + 8 * count].view("<u8").astype(int)
-    out, at = [], 8 + 8 * count
-    for n in sizes:
-        planes = raw[at : at + 8 * n].reshape(8, n)
-        out.append(np.ascontiguousarray(planes.T).view("<u8").ravel())
-        at += 8 * n
-    return out
-
-
-def _steps(x: np.ndarray) -> np.ndarray:
-    """Differences, each folded so that small negative ones stay small."""
-    d = np.diff(x.astype(np.int64), prepend=np.int64(0))
-    return ((d << 1) ^ (d >> 63)).astype(np.uint64)
-
-
-def _unsteps(x: np.ndarray) -> np.ndarray:
-    return np.cumsum((x >> np.uint64(1)).astype(np.int64) ^ -(x & np.uint64(1)).astype(np.int64))
-
-
 def _sets(frames, size: int):
     """(key, text, sorted distinct shingles) of every row with a key."""
     for f in frames:
@@ -83,81 +51,85 @@ def _sets(frames, size: int):
                 at += k
 
 
-def _profiles(rows: DataFrame, size: int) -> DataFrame:
-    """(k, n, d1, d2): the set's size and a 128-bit checksum of the set."""
+def least_overlap(n: int, percent: int) -> int:
+    """Shingles that a set of ``n`` shares with any it links with, which is also their least number."""
+    return -(-percent * n // 100)
+
+
+def least_common(n: int, percent: int) -> int:
+    """Common shingles that the prefixes of two linked sets hold, if ``n`` is the smaller size: as many as either may lack."""
+    return max(1, min(least_overlap(n, percent), (100 - percent) * n // 100))
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """After the first ``least_common`` common shingles there are as many more as the overlap needs, so these come early."""
+    return n - least_overlap(n, percent) + least_common(n, percent)
+
+
+def _profiles(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(k, n, d1, d2, prefix): the set's size, a 128-bit checksum of the set, and its smallest shingles."""
 
     def profile(frames):
         for f in frames:
             out = []
             for k, _, s in _sets([f], size):
-                out.append((k, len(s), int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(~s).sum(dtype=np.uint64).view(np.int64))))
-            yield pd.DataFrame(out, columns=["k", "n", "d1", "d2"])
+                first = s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64)
+                out.append((k, len(s), int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(~s).sum(dtype=np.uint64).view(np.int64)), first))
+            yield pd.DataFrame(out, columns=["k", "n", "d1", "d2", "prefix"])
 
-    return rows.mapInPandas(profile, "k bigint, n bigint, d1 bigint, d2 bigint")
+    return rows.mapInPandas(profile, "k bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>")
 
 
-def _shared_counts(rows: DataFrame, size: int, ranges: int, bits: int) -> DataFrame:
-    """(k, shared): shingles of a document that another document has, or a few more.
+def _shared_counts(profiles: DataFrame) -> DataFrame:
+    """(k, shared): shingles of a document's prefix that stand in another document's.
 
-    Shingles are told apart by their first ``bits`` bits; what two of them share by chance only
-    adds a candidate.
+    A batch sends each shingle once, so a shingle of very many documents has one row a batch.  What it finds
+    twice it counts itself and sends without an owner.
     """
-    drop = np.uint64(64 - bits)
 
-    def flush(keys: list[int], sets: list[np.ndarray]):
-        tokens = np.concatenate(sets) >> drop
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    def flush(keys: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
         twice = ~new | np.concatenate((~new[1:], [False]))
-        part = (tokens * np.uint64(ranges) >> np.uint64(bits)).astype(np.int64) if bits <= 44 else ((tokens >> np.uint64(bits - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        edges = np.searchsorted(part, np.arange(ranges + 1))
-        ids, out = np.array(keys, np.int64), []
-        for r in range(ranges):
-            a, b = edges[r], edges[r + 1]
-            if a == b:
-                continue
-            here, at = np.unique(owner[a:b], return_inverse=True)
-            local = np.bincount(at, twice[a:b], minlength=len(here)).astype(np.int64)
-            first = new[a:b]
-            whose = np.where(twice[a:b], 0, at + 1)[first]
-            out.append((r, _pack(_steps(tokens[a:b][first]), whose, _steps(ids[here]), local)))
-        return pd.DataFrame(out, columns=["r", "blob"])
+        ids, here = np.array(keys, np.int64), np.bincount(owner, twice, minlength=len(keys)).astype(np.int64)
+        counted = np.flatnonzero(here)
+        alone = ids[owner[new]].astype(object)
+        alone[twice[new]] = None
+        # Counts travel under keys that look like shingles, so that they are dealt as evenly.
+        return pd.DataFrame({
+            "token": np.concatenate((tokens[new], mix(ids[counted].view(np.uint64)).view(np.int64))),
+            "k": pd.array(np.concatenate((alone, ids[counted].astype(object))), "Int64"),
+            "n": np.concatenate((np.zeros(new.sum(), np.int64), here[counted])),
+        })
 
     def pack(frames):
         keys, sets, used = [], [], 0
-        for k, _, s in _sets(frames, size):
-            if len(s):
+        for f in frames:
+            for k, s in zip(f["k"].tolist(), f["prefix"], strict=True):
                 keys.append(k)
                 sets.append(s)
                 used += len(s)
-            if used >= BATCH_TOKENS:
-                yield flush(keys, sets)
-                keys, sets, used = [], [], 0
+                if used >= BATCH_TOKENS:
+                    yield flush(keys, sets)
+                    keys, sets, used = [], [], 0
         if keys:
             yield flush(keys, sets)
 
-    def meet(blobs: pd.DataFrame) -> pd.DataFrame:
-        tokens, whose, ids, local, base = [], [], [], [], 0
-        for blob in blobs["blob"]:
-            t, w, i, n = _unpack(blob)
-            tokens.append(_unsteps(t))
-            whose.append(np.where(w > 0, w.astype(np.int64) + base, 0))
-            ids.append(_unsteps(i))
-            local.append(n.astype(np.int64))
-            base += len(i)
-        tokens, whose = np.concatenate(tokens), np.concatenate(whose)
-        order = np.argsort(tokens, kind="stable")
-        tokens, whose = tokens[order], whose[order]
-        same = tokens[1:] == tokens[:-1]
-        again = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        count = np.concatenate(local) + np.bincount(whose[again], minlength=base + 1)[1:]
-        held = count > 0
-        return pd.DataFrame({"k": np.concatenate(ids)[held], "shared": count[held]})
+    sent = profiles.filter("k is not null and n > 0").select("k", "prefix").mapInPandas(pack, "token bigint, k bigint, n bigint")
+    met = F.count_if(F.col("n") == 0).over(Window.partitionBy("token"))
+    found = sent.withColumn("met", met).filter("k is not null and (n > 0 or met > 1)")
+    return found.groupBy("k").agg(F.sum(F.greatest("n", F.lit(1))).alias("shared"))
 
-    packed = rows.mapInPandas(pack, "r int, blob binary")
-    return packed.groupBy("r").applyInPandas(meet, "k bigint, shared bigint").groupBy("k").agg(F.sum("shared").alias("shared"))
+
+def _lowest(rows: DataFrame, by: list[str], node: str) -> DataFrame:
+    """(a, b): edges that tie the nodes of every group to its smallest, by way of the smallest of a salt's part."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(node, F.lit(1)), F.lit(SALTS)).cast("int"))
+    part = salted.groupBy(*by, "salt").agg(F.min(node).alias("low"))
+    low = part.groupBy(*by).agg(F.min("low").alias("least"))
+    inside = salted.join(part, [*by, "salt"]).select(F.col(node).alias("a"), F.col("low").alias("b"))
+    return inside.union(part.join(low, by).select(F.col("low"), F.col("least"))).filter("a <> b")
 
 
 def _blocks(reps: DataFrame, size: int, percent: int) -> DataFrame:
@@ -179,10 +151,9 @@ def _blocks(reps: DataFrame, size: int, percent: int) -> DataFrame:
     prefix = shared.withColumn("m", length).filter("m > 0").select("k", band.alias("band"), F.explode(F.slice("s", F.lit(1), F.col("m"))).alias("x")).select("k", "band", F.col("x.token").alias("token"))
     prefix = materialize(prefix)
     low = prefix.groupBy("token", "band").agg(F.min("k").alias("low"))
-    inside = prefix.join(low, ["token", "band"]).select(F.col("k").alias("a"), F.col("low").alias("b"))
     upper = low.select("token", (F.col("band") - 1).alias("band"), F.col("low").alias("b"))
-    across = low.join(upper, ["token", "band"]).select(F.col("low").alias("a"), "b")
-    return connected_components(inside.union(across).filter("a <> b").distinct())
+    across = low.join(upper, ["token", "band"]).select(F.col("low").alias("a"), "b").filter("a <> b")
+    return connected_components(_lowest(prefix, ["token", "band"], "k").union(across).distinct())
 
 
 class Cell:
@@ -198,8 +169,12 @@ class Cell:
         self.first = np.append(self.first, len(tokens))
 
     def search(self, x: np.ndarray) -> np.ndarray:
-        """Indexes of the sets that ``x`` links with, itself included if it is one of them."""
-        need = -(-self.percent * len(x) // 100)  # the least overlap with any partner
+        """Indexes of the sets that ``x`` links with, itself included if it is one of them.
+
+        The short lists are merged by sorting their concatenation: like a heap, it brings equal owners
+        together in n log n steps, and numpy takes them all at once.
+        """
+        need = least_overlap(len(x), self.percent)
         at = np.searchsorted(self.tokens, x)
         at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == x]
         if len(at) < need:
@@ -288,19 +263,25 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     Sets hold the distinct word shingles (A-Z lower-cased, ASCII blanks between words); shorter texts
     are one shingle, null and wordless texts have none and link with nothing.  Two rows link
     when 100 * intersection >= percent * union; n_links counts partners, copies included;
-    component_id is the smallest key reachable.  Keys are integers; rows of one key are one
-    node, and rows without a key link with nothing and have no component.
+    component_id is the smallest key reachable.  Keys are integers, else an error is raised; rows of one
+    key are one node, and rows without a key link with nothing and have no component.
     """
     bound_batches(docs.sparkSession)
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise ValueError(f"{key} must hold integers")
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    profiles = materialize(_profiles(rows, size))
+    profiles = materialize(_profiles(rows, size, percent))
     some = rows.filter("k is not null")
-    volume = some.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    ranges, bits = max(MIN_RANGES, -(-volume // RANGE_BYTES)), min(60, max(40, volume.bit_length() + 10))
-    shared = _shared_counts(some, size, ranges, bits)
-    able = materialize(profiles.filter("n > 0").join(shared, "k").filter(f"100 * shared >= {percent} * n").select("k", "n", "d1", "d2"))
-    classes = able.groupBy("n", "d1", "d2").agg(F.min("k").alias("rep"), F.count("*").alias("copies"))
-    member = materialize(able.join(classes, ["n", "d1", "d2"]).select("k", "rep", "copies"))
+    # What any partner's prefix must share with this one's, by the least size of a partner.
+    partner = F.expr(f"({percent} * n + 99) div 100")
+    common = F.greatest(F.lit(1), F.least(F.expr(f"({percent} * p + 99) div 100"), F.expr(f"{100 - percent} * p div 100")))
+    able = profiles.filter("n > 0").join(_shared_counts(profiles), "k").withColumn("p", partner).filter(F.col("shared") >= common).select("k", "n", "d1", "d2")
+    able = materialize(able.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")))
+    same = ["n", "d1", "d2"]
+    parts = able.groupBy(*same, "salt").agg(F.min("k").alias("low"), F.count("*").alias("c"))
+    classes = parts.groupBy(*same).agg(F.min("low").alias("rep"), F.sum("c").alias("copies"))
+    of_part = parts.select(*same, "salt").join(classes, same)
+    member = materialize(able.join(of_part, [*same, "salt"]).select("k", "rep", "copies"))
     reps = member.filter("k = rep").select("k", "copies").groupBy("k").agg(F.max("copies").alias("copies"))
     reps = materialize(some.join(reps.hint("shuffle_hash"), "k"))
     blocks = _blocks(reps, size, percent).withColumnRenamed("node", "k").withColumnRenamed("component", "block")
@@ -316,7 +297,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     counted = links.groupBy("k").agg(F.sum("links").alias("links"))
     found = counted.join(tops.withColumnRenamed("node", "k"), "k", "left").select(F.col("k").alias("rep"), "links", "component")
     each = member.join(found, "rep", "left").groupBy("k").agg(F.min(F.coalesce("component", "rep")).alias("c"), F.max(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("l"))
-    out = profiles.join(each, "k", "left")
+    out = profiles.select("k", "n").join(each, "k", "left")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("c", "k").alias("component_id"), F.coalesce("l", F.lit(0)).cast("long").alias("n_links"))
 
 
