@@ -23,6 +23,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
 
 
+def named(df: DataFrame, *out: str, used: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``df`` but those named like ``out``, in any case, whose place an operator's own take.
+
+    A column that the operator reads cannot give way, so its name in ``out`` is an error.
+    """
+    taken = {n.lower() for n in out}
+    if clash := [n for n in used if n.lower() in taken]:
+        raise ValueError(f"columns that are read bear names of results: {', '.join(clash)}")
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in taken]
+
+
 def seeded(seed: int, *parts: Column) -> Column:
     """60 random-looking bits of the parts as a long; the same in any SQL engine with md5."""
     key = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

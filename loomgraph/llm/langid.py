@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bound_batches, load
+from loomgraph.llm.common import bound_batches, load, named
 
 DIMS, GRAM, SEED = 1024, 3, 5
 #: Prototypes that may be sent to executors: more than there are language codes, 32 MB.
@@ -139,7 +139,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     """All rows and columns of ``docs`` plus lang_pred and score (cosine, 0 to 1).
 
     Null texts and texts without letters are ``und`` with score 0, as all are without
-    prototypes.  Ties go to the first language by name.
+    prototypes.  Ties go to the first language by name.  Columns of ``docs`` called lang_pred or score
+    give way to the results; if one is the text it is an error.
     """
     bound_batches(docs.sparkSession)
     names = sorted(prototypes)
@@ -162,8 +163,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
             scores += np.where(silent, 0.0, np.clip(cos[np.arange(len(v)), best], 0, 1)).tolist()
         return pd.DataFrame({"lang": langs, "score": scores})
 
-    out = docs.withColumn("_lid", predict(F.col(text).cast("string")))
-    return out.select(*[docs[c] for c in docs.columns], F.col("_lid.lang").alias("lang_pred"), F.col("_lid.score").alias("score"))
+    kept = named(docs, "lang_pred", "score", used=(text,))
+    out = docs.select(F.struct(*kept).alias("_row"), predict(F.col(text).cast("string")).alias("_lid"))
+    return out.select("_row.*", F.col("_lid.lang").alias("lang_pred"), F.col("_lid.score").alias("score"))
 
 
 def held_out(key: Column, folds: int, fold: int) -> Column:

@@ -280,8 +280,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     same = ["n", "d1", "d2"]
     parts = able.groupBy(*same, "salt").agg(F.min("k").alias("low"), F.count("*").alias("c"))
     classes = parts.groupBy(*same).agg(F.min("low").alias("rep"), F.sum("c").alias("copies"))
-    of_part = parts.select(*same, "salt").join(classes, same)
-    member = materialize(able.join(of_part, [*same, "salt"]).select("k", "rep", "copies"))
+    of_part = materialize(parts.select(*same, "salt").join(classes, same))
+    member = materialize(able.join(of_part, [*same, "salt"]).select("k", "salt", "rep", "copies"))
     reps = member.filter("k = rep").select("k", "copies").groupBy("k").agg(F.max("copies").alias("copies"))
     reps = materialize(some.join(reps.hint("shuffle_hash"), "k"))
     blocks = _blocks(reps, size, percent).withColumnRenamed("node", "k").withColumnRenamed("component", "block")
@@ -296,7 +296,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     tops = connected_components(links.filter("k <> root").select(F.col("k").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("k").agg(F.sum("links").alias("links"))
     found = counted.join(tops.withColumnRenamed("node", "k"), "k", "left").select(F.col("k").alias("rep"), "links", "component")
-    each = member.join(found, "rep", "left").groupBy("k").agg(F.min(F.coalesce("component", "rep")).alias("c"), F.max(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("l"))
+    each = member.join(of_part.select("rep", "salt").join(found, "rep"), ["rep", "salt"], "left").groupBy("k").agg(F.min(F.coalesce("component", "rep")).alias("c"), F.max(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("l"))
     out = profiles.select("k", "n").join(each, "k", "left")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("c", "k").alias("component_id"), F.coalesce("l", F.lit(0)).cast("long").alias("n_links"))
 

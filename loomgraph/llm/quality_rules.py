@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import load, materialize, words
+from loomgraph.llm.common import load, materialize, named, words
 
 #: Frequent function words, the bins of the word histogram.
 COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "not", "this", "are", "at"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "au", "sur"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine", "als", "es"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no", "una", "su", "al", "es"],
+    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was"],
+    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
+    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"],
+    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por"],
 }
 #: The characters of each ASCII class; what is outside ASCII or in none has two more bins.
 CLASSES = {
@@ -29,13 +29,15 @@ CLASSES = {
     "symbol": "#*$%&|<>",
 }
 _BLANK, _SYMBOL = 3, 5
-#: Common words that have a bin.
+#: Bins of the word histogram but the one of all other words.
 WORD_BINS = 12
 #: Documents with fewer characters, or words, are not judged by the respective histogram.
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Largest distance (base 2, 0 to 1) from the language's reference.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.24, 0.3
 _BINS = len(CLASSES) + 2
+#: Columns of the verdict; input columns of these names give way to them.
+OUTPUTS = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed", "_kept", "_class_distance", "_word_distance"]
 
 
 def _count_chars(text: Column, chars: str) -> Column:
@@ -48,10 +50,6 @@ def _windows(ws: Column) -> Column:
     return F.when(F.size(ws) >= 4, F.sort_array(pairs)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
 
-def _histogram_words() -> dict[str, list[str]]:
-    return {k: v[:WORD_BINS] for k, v in COMMON_WORDS.items()}
-
-
 def document_features(docs: DataFrame, carry: list[str] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
     """The columns ``carry`` (all by default) plus the counts that the rules read, one row per row of ``docs``.
 
@@ -59,8 +57,8 @@ def document_features(docs: DataFrame, carry: list[str] | None = None, text: str
     character class, one for characters outside ASCII and one for the rest; _common a bin
     per common word of the language and one for all other words, null if there is no list.
     """
-    carry = docs.columns if carry is None else carry
-    d = docs.select(F.struct(*carry).alias("_row"), F.col(lang).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    carried = named(docs, *OUTPUTS, used=(text, lang)) if carry is None else [F.col(c) for c in carry]
+    d = docs.select(F.struct(*carried).alias("_row"), F.col(lang).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     # Letters go in runs; all other classes are counted in what is left, a fifth of the text.
     d = d.withColumns({"_len": F.char_length("_t"), "_rest": F.regexp_replace("_t", "[A-Za-z]+", "")})
     d = d.withColumn("_vowels", _count_chars(F.col("_t"), CLASSES["vowel"]))
@@ -73,7 +71,7 @@ def document_features(docs: DataFrame, carry: list[str] | None = None, text: str
     d = d.withColumn("_starts", F.transform(F.filter("_sorted", lambda x, k: F.coalesce(again(x, k), F.lit(False))), lambda x: x.i))
     hits = lambda w: ((F.char_length("_spaced") - F.char_length(F.replace(F.col("_spaced"), F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long")
     common = F.lit(None).cast("array<bigint>")
-    for name, listed in _histogram_words().items():
+    for name, listed in COMMON_WORDS.items():
         common = F.when(F.col("_lang") == name, F.array(*[hits(w) for w in listed])).otherwise(common)
     covered = F.aggregate("_tally", F.lit(0), lambda a, x: a + x) + F.col("_wide")
     return d.withColumn("_hits", common).select(
@@ -106,7 +104,8 @@ def judge_documents(docs: DataFrame, carry: list[str] | None = None, text: str =
     References are the summed histograms of all documents of a language that pass the
     length guards; null is a language of its own.  A distance is null, and its rule
     passes, below its guard, without a word list or without a reference.  An empty table
-    gives an empty one; a language with one document is its own reference and passes.
+    gives an empty one; a language with one document is its own reference and passes.  Columns of ``docs``
+    named like a result give way to it.
     """
     f = materialize(document_features(docs, carry, text, lang))
     chars = F.aggregate("_classes", F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -147,7 +146,7 @@ def _sql() -> str:
 
     tally = [count(c) for c in CLASSES.values()]
     common = " ".join(
-        f"WHEN lang = '{k}' THEN [" + ", ".join(f"(length(sp) - length(replace(sp, ' {w} ', ''))) // {len(w) + 2}" for w in v) + "]" for k, v in _histogram_words().items()
+        f"WHEN lang = '{k}' THEN [" + ", ".join(f"(length(sp) - length(replace(sp, ' {w} ', ''))) // {len(w) + 2}" for w in v) + "]" for k, v in COMMON_WORDS.items()
     )
     return rf"""
 WITH d AS (

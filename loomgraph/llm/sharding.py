@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import load, seeded
+from loomgraph.llm.common import load, named, seeded
 
 #: Rows that one range of hashes, or of fractional ranks, has on average.
 RANGE_ROWS = 2048
@@ -42,18 +42,19 @@ def interleave_shards(docs: DataFrame, shards: int, seed: int = 7, key: str = "d
 
     A null source is a source of its own; null keys and texts hash as empty ones.
     Rows that agree in key and text are interchangeable.  An empty table gives an empty one.
+    Columns of ``docs`` called shard or slot give way to the results; if they are read it is an error.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     total = docs.count()
     width = max(1, -(-total // RANGE_ROWS))
-    names = docs.columns
+    names = named(docs, "shard", "slot", used=(key, text, source))
     crc = F.crc32(F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8"))
     rows = docs.select(F.struct(*names).alias("_row"), F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("_s"), F.col(key).alias("_k"), crc.alias("_c"))
     rows = rows.withColumn("_h", seeded(seed, F.col("_k")))
     rows = rows.withColumn("_r", F.floor(F.col("_h") / F.lit(float(2**_HASH_BITS)) * width).cast("int"))
     counts = rows.groupBy("_s", "_r").agg(F.count("*").alias("_n"))
-    ranges = _offsets(counts, ["_s"], "_r").withColumn("_size", F.sum("_n").over(Window.partitionBy("_s"))).drop("_n")
+    ranges = _offsets(counts, ["_s"], "_r").drop("_n").join(counts.groupBy("_s").agg(F.sum("_n").alias("_size")), "_s")
     within = Window.partitionBy("_s", "_r").orderBy("_h", "_k", "_c")
     ranked = rows.withColumn("_i", F.row_number().over(within) - 1).join(ranges, ["_s", "_r"])
     ranked = ranked.withColumn("_f", (F.col("_before") + F.col("_i") + F.lit(0.5)) / F.col("_size"))

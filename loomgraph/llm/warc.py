@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bound_batches, load, materialize, shared_dir
+from loomgraph.llm.common import bound_batches, load, materialize, named, shared_dir
 
 MAGIC = b"WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -43,18 +43,19 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0, key: str = "page_id", ht
     """``pages`` with payload (null is empty) in the place of ``html``, payload_bytes, payload_digest, record_type and refers_to.
 
     Of equal payloads of at least ``min_bytes`` that of the largest key is the response, also if
-    rows repeat that key or if all keys are null; the others revisit it.
+    rows repeat that key or if all keys are null; the others revisit it.  Columns of ``pages`` named like a
+    result give way to it.
     """
-    rest = [c for c in pages.columns if c != html]
-    d = pages.select(*rest, F.coalesce(F.col(html), F.lit("")).alias("payload"))
-    d = d.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "_sha": F.sha1("payload"), "_key": F.col(key).cast("long")})
+    rest = named(pages, html, "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", used=(key,))
+    d = pages.select(F.struct(*rest).alias("_row"), F.col(key).cast("long").alias("_key"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("payload"))
+    d = d.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "_sha": F.sha1("payload")})
     first = d.filter(F.col("payload_bytes") >= min_bytes).groupBy("_sha").agg(F.max("_key").alias("_first"), F.count("*").alias("_n"))
     # Payloads that stand alone need no partner.  The rest is written, so that its true size decides whether
     # the pages are joined where they are or, salted against a digest that many share, by shuffle.
     first = materialize(first.filter("_n > 1").drop("_n")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     d = d.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"), F.lit(0))).join(first, ["_sha", "_salt"], "left")
     revisit = (F.col("payload_bytes") >= min_bytes) & ~F.col("_key").eqNullSafe(F.col("_first")) & F.col("_first").isNotNull()
-    return d.select(*rest, "payload", "payload_bytes", base32_sha1(F.col("_sha")).alias("payload_digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
+    return d.select("_row.*", "payload", "payload_bytes", base32_sha1(F.col("_sha")).alias("payload_digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> None:

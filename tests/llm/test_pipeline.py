@@ -52,3 +52,28 @@ def test_empty_tables(spark, sf_dir):
     for _, stage in P.STAGES:
         docs = P.materialize(stage(spark, docs, sf_dir))
         assert docs.count() == 0
+
+
+def test_odd_tables(spark, sf_dir, tmp_path):
+    """Clashing columns, a map, null and repeated ids, a very long text, and a benchmark without items."""
+    from pyspark.sql import functions as F
+
+    docs = load(spark, sf_dir, "documents").filter("doc_id < 60")
+    more = docs.filter("doc_id < 20").withColumn("doc_id", F.lit(None).cast("bigint")).withColumn("text", F.concat("text", F.lit(" other "), F.sha2("text", 256)))
+    long = docs.filter("doc_id = 1").withColumn("doc_id", F.lit(900).cast("bigint")).withColumn("text", F.repeat(F.concat(F.lit("the river of stone "), F.sha2("text", 256)), 4000))
+    docs = docs.unionByName(docs.filter("doc_id = 5")).unionByName(more).unionByName(long)
+    clash = ["score", "lang_pred", "shard", "slot", "_size", "_copies", "_row", "_key", "_words", "component_id"]
+    docs = docs.withColumns({c: F.lit(1) for c in clash}).withColumn("map", F.create_map(F.lit("a"), F.lit(1)))
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs = load(spark, f"file://{tmp_path}", "documents")
+    columns, kept = docs.columns, {}
+    for name, stage in P.STAGES:
+        docs = P.materialize(stage(spark, docs, f"file://{tmp_path}"))
+        kept[name] = [r.doc_id for r in docs.select("doc_id").collect()]
+        if name != "sharding":
+            assert docs.columns == columns
+    assert len(kept["language_id"]) == 82
+    assert sorted(k for k in kept["ngram_join"] if k is not None) == [*range(60), 900] and kept["ngram_join"].count(None) == 20
+    assert len(kept["decontamination"]) == 81 and len(kept["mixing"]) > 81
+    assert docs.columns == [c for c in columns if c not in ("shard", "slot")] + ["shard", "slot"]
