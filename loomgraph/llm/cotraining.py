@@ -1,14 +1,16 @@
 """Quality classification by co-training.
 
-Two classifiers see different views of a document: statistics of its text, and the page's
-metadata (source, language, length).  Over some rounds each marks the unlabelled documents it is
-surest of as training rows for the other.  Both are then calibrated on rows held back, and a
+Two classifiers see different views of a document.  One judges statistics of its text by linear
+discriminants; the other the page's metadata (source, language, the shape of its length) by
+label rates shrunk towards the common one.  Over some rounds each marks the unlabelled documents
+it is surest of as training rows for the other.  Both are then calibrated on rows held back, and a
 logistic model of the two calibrated views scores every document.
 
-Text statistics come from one Arrow pass.  The labelled rows of the fit are a bounded sample in
-hash order; pseudo-labels are chosen from all unlabelled rows, whose number has no bound, so they
-stay distributed: tasks count confidences and sum the moments of Newton steps.  The scores of
-all documents are column expressions.
+Both classifiers follow from sums over their training rows, so training sets stay where they are: a
+round is two passes over the table, one that counts how sure the views are, which decides who is
+given, and one that adds what the given rows bring.  All labelled rows outside the held-out and
+calibration folds and all unlabelled rows take part; only the curve of the last step is
+fitted on a bounded sample.
 """
 
 from __future__ import annotations
@@ -23,13 +25,22 @@ from loomgraph.llm.common import bound_batches, load, materialize
 from loomgraph.llm.langid import held_out
 from loomgraph.llm.textkit import BLANKS, batches, word_hashes
 
-#: Labelled rows that fitting may see, in the order of a hash.
-LABELLED_ROWS = 20_000
+#: Labelled rows that calibration may see, in the order of a hash: the default of a parameter.
+CALIBRATION_ROWS = 20_000
 ROUNDS, SHARE, SURE = 5, 0.02, 0.95
 #: Steps that a unit of log-odds is counted in, and the log-odds that the last step stands for.
-STEPS, TOP = 1024, 64
-#: Bins that sources and languages are hashed to.
-SOURCE_BINS, LANG_BINS = 64, 16
+STEPS, TOP = 256, 64
+#: Bins that sources and languages are hashed to; where several fall in one, they share a rate.  Bins of lengths.
+SOURCE_BINS, LANG_BINS, LENGTH_BINS = 4096, 256, 128
+_BINS = SOURCE_BINS + LANG_BINS + LENGTH_BINS
+#: Rows that a bin's own rate needs to weigh as much as the common one.
+SHRINK = 20.0
+#: What is added to the variance of each text statistic, as a part of it.
+RIDGE = 0.05
+#: Sums are whole multiples of 1 / GRID, so they do not depend on the order of tasks.
+GRID = 1 << 24
+#: What a row is to the fit: unlabelled, learnt from, for calibration, or nothing.
+POOL, TRAIN, CALIBRATE, NONE = range(4)
 _CLASSES = {
     "lower": range(97, 123),
     "upper": range(65, 91),
@@ -63,6 +74,9 @@ def text_features(texts: list[str | None]) -> np.ndarray:
             out[i, len(kinds) - 1 :] = kinds[0], len(body) / k / 10, len(count) / k, count.max() / k, pairs.max() / k, np.log1p(k) / 10, min(1.0, kinds[6] * 100)
     return np.round(out, 6)
 
+_N = len(TEXT_FEATURES)
+_TEXT = 1 + _N + _N * _N
+
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton steps; the last weight is the constant."""
@@ -77,25 +91,58 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _logit(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+def _text_sums(x: np.ndarray) -> np.ndarray:
+    return np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel()))
 
 
-def _moments(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The curvature and then the slope of the log-likelihood at ``w``, as one vector."""
-    z = np.column_stack((x, np.ones(len(x))))
-    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-    return np.concatenate(((z.T @ (z * (p * (1 - p) + 1e-9)[:, None])).ravel(), z.T @ (y - p)))
+def add_up(x: np.ndarray, page: np.ndarray, text_labels: np.ndarray, page_labels: np.ndarray) -> np.ndarray:
+    """What rows bring to the sums of both classifiers; a label of -1 is none for that view."""
+    parts = [_text_sums(x[text_labels == label]) for label in (0, 1)]
+    parts += [np.bincount(page[page_labels == label].ravel(), minlength=_BINS) for label in (0, 1)]
+    return np.concatenate(parts)
+
+
+_SUMS = 2 * _TEXT + 2 * _BINS
+
+
+def models(sums: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, float]:
+    """(weights, constant) of the text view and (weight per bin, constant) of the page view, as log-odds of label 1."""
+    parts = [sums[i * _TEXT : (i + 1) * _TEXT] for i in (0, 1)]
+    n = [p[0] for p in parts]
+    means = [p[1 : 1 + _N] / max(p[0], 1) for p in parts]
+    within = sum(p[1 + _N :].reshape(_N, _N) - p[0] * np.outer(m, m) for p, m in zip(parts, means, strict=True)) / max(sum(n), 1)
+    w = np.linalg.solve(within + np.diag(RIDGE * np.diag(within).clip(0) + 1e-6), means[1] - means[0])
+    counts = [sums[2 * _TEXT + i * _BINS :][:_BINS] for i in (0, 1)]
+    # Every row has one bin of each kind.
+    rows = [c[:SOURCE_BINS].sum() for c in counts]
+    common = (counts[0] + counts[1]) / max(sum(rows), 1)
+    rate = [(c + SHRINK * common + 1e-9) / (r + SHRINK) for c, r in zip(counts, rows, strict=True)]
+    prior = lambda m: float(np.log((m[1] + 1) / (m[0] + 1)))
+    return w, float(-(means[0] + means[1]) @ w / 2) + prior(n), np.log(rate[1] / rate[0]), prior(rows)
 
 
-def _sides(w: np.ndarray, x: np.ndarray):
+def odds_of(model: tuple, x: np.ndarray, page: np.ndarray) -> list[np.ndarray]:
+    """Log-odds of label 1 of rows by the text view and by the page view."""
+    w, c, bins, d = model
+    return [x @ w + c, bins[page].sum(1) + d]
+
+
+def _sides(odds: np.ndarray):
     """(label, rows that are sure of it, their steps of confidence) for both labels."""
-    odds = _logit(w, x)
     for label, side in ((0, -odds), (1, odds)):
         yield label, side >= np.log(SURE / (1 - SURE)), (np.clip(side, 0, TOP) * STEPS).astype(np.int64)
 
 
-def _give(w: list, cuts: list, views: list[np.ndarray], h: np.ndarray, free: list[np.ndarray]) -> list[np.ndarray]:
+def _cut(counts: np.ndarray, n: int) -> tuple[int, float]:
+    """The step, and the share of the rows at it, that the ``n`` surest of the counted rows reach."""
+    above = np.cumsum(counts[::-1])[::-1]
+    if above[0] <= n:
+        return -1, 1.0
+    low = int(np.flatnonzero(above > n)[-1])
+    return low, float(n - (above[low] - counts[low])) / float(counts[low])
+
+
+def _give(odds: list[np.ndarray], cuts: list, h: np.ndarray, free: list[np.ndarray]) -> list[np.ndarray]:
     """The label that each view gives a row, -1 for none; given rows are no longer free.
 
     A row is given above its label's step, and at it if its hash falls into the share that the quota leaves.
@@ -103,7 +150,7 @@ def _give(w: list, cuts: list, views: list[np.ndarray], h: np.ndarray, free: lis
     out = []
     for a in (0, 1):
         given = np.full(len(h), -1)
-        for label, sure, step in _sides(w[a], views[a]):
+        for label, sure, step in _sides(odds[a]):
             low, share = cuts[a][label]
             given[free[a] & sure & ((step > low) | ((step == low) & (h < share)))] = label
         free[a] &= given < 0
@@ -111,113 +158,76 @@ def _give(w: list, cuts: list, views: list[np.ndarray], h: np.ndarray, free: lis
     return out
 
 
-def _cut(counts: np.ndarray, n: int) -> tuple[int, float]:
-    """The step, and the share of the rows at it, that the ``n`` surest of the counted rows reach."""
-    above = np.cumsum(counts[::-1])[::-1]
-    if above[0] <= n:
-        return -1, 1.0
-    low = int(np.flatnonzero(above > n)[-1])
-    return low, float(n - (above[low] - counts[low])) / float(counts[low])
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(text statistics, bins of the page) of the rows."""
+    x = batch.column("f").flatten().to_numpy(zero_copy_only=False).reshape(-1, _N)
+    return x, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "l", "z")], axis=1)
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, centre: np.ndarray, scale: np.ndarray) -> list[np.ndarray]:
-    """Weights of both views' classifiers after the rounds.
+def _total(rows: DataFrame, each, size: int) -> np.ndarray:
+    """The sum over all rows of the vectors that ``each`` makes of batches; only sums leave a task."""
 
-    In a round each view gives the other its surest rows of either class from all of ``pool`` (f, s, l, z
-    and h, a hash from 0 to 1), in the proportion of the labels; a row given once is not given again.
-    """
-    rate = y.mean() if len(y) else 0.5
-    w = [_fit(v, y) for v in views]
-    size = pool.count()
-    if size == 0:
-        return w
-    quota = max(1, int(SHARE * size))
-    wanted = {1: int(quota * rate), 0: int(quota * (1 - rate)) + 1}
-    past: list = []
-    given: DataFrame | None = None
+    def add(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += each(batch)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "v": np.round(total[at] * GRID).astype(np.int64)})
 
-    def read(batch: pa.RecordBatch) -> list[np.ndarray]:
-        f = batch.column("f").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(TEXT_FEATURES))
-        return [(f - centre) / scale, _one_hot(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "l", "z")))]
+    out = np.zeros(size)
+    for r in rows.mapInArrow(add, "at int, v bigint").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r["v"] / GRID
+    return out
 
-    for _ in range(ROUNDS):
 
-        def replay(batch: pa.RecordBatch, past=tuple(past)):
-            """Both views of the rows, their hashes, the rows still free, and the labels given last."""
-            x, h = read(batch), batch.column("h").to_numpy(zero_copy_only=False)
-            free, last = [np.ones(len(h), bool), np.ones(len(h), bool)], []
-            for w, cuts in past:
-                last = _give(w, cuts, x, h, free)
-            return x, h, free, last
-
-        def count(batches, w=tuple(w), replay=replay):
-            total = np.zeros((4, TOP * STEPS + 1), np.int64)
-            for batch in batches:
-                x, _, free, _ = replay(batch)
-                for a in (0, 1):
-                    for label, sure, step in _sides(w[a], x[a]):
-                        total[2 * a + label] += np.bincount(step[sure & free[a]], minlength=total.shape[1])
-            kind, step = np.nonzero(total)
-            yield pa.RecordBatch.from_pydict({"kind": kind.astype(np.int32), "step": step.astype(np.int32), "n": total[kind, step]})
-
-        counts = np.zeros((4, TOP * STEPS + 1), np.int64)
-        for r in pool.mapInArrow(count, "kind int, step int, n bigint").groupBy("kind", "step").agg(F.sum("n").alias("n")).collect():
-            counts[r["kind"], r["step"]] = r["n"]
-        cuts = [{label: _cut(counts[2 * a + label], wanted[label]) for label in (0, 1)} for a in (0, 1)]
-        now = (*past, (tuple(w), cuts))
-
-        def choose(batches, now=now, replay=replay):
-            for batch in batches:
-                last = replay(batch, now)[3]
-                keep = pa.array((last[0] >= 0) | (last[1] >= 0))
-                kept = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("f", "s", "l", "z")), pa.array(last[1], pa.int32()), pa.array(last[0], pa.int32())], ["f", "s", "l", "z", "y0", "y1"])
-                yield kept.filter(keep)
-
-        past = list(now)
-        more = materialize(pool.mapInArrow(choose, "f array<double>, s int, l int, z double, y0 int, y1 int"))
-        given = more if given is None else given.unionByName(more)
-        w = _fit_all(views, y, given, read, w)
-    return w
+def co_train(rows: DataFrame) -> tuple:
+    """Both views' model after the rounds, from ``rows`` (f, s, l, z, h, role, y).
 
+    In a round each view gives the other its surest rows of either class from all unlabelled ones, in the
+    proportion of the labels; a row given once by a view is not given by it again.
+    """
 
-def _fit_all(views: list[np.ndarray], y: np.ndarray, given: DataFrame, read, start: list[np.ndarray], ridge: float = 1.0) -> list[np.ndarray]:
-    """Logistic regression of both views over the labelled and all given rows, by Newton steps from ``start``."""
-    w = [v.copy() for v in start]
-    sizes = [len(v) * (len(v) + 1) for v in w]
-    for _ in range(40):
+    def labelled(batch: pa.RecordBatch) -> np.ndarray:
+        y = batch.column("y").to_numpy(zero_copy_only=False)
+        return add_up(*_read(batch), y, y)
 
-        def add(batches, w=tuple(w)):
-            total = np.zeros(sum(sizes))
-            for batch in batches:
-                parts = []
-                for a, x in enumerate(read(batch)):
-                    mark = batch.column(f"y{a}").to_numpy(zero_copy_only=False)
-                    parts.append(_moments(w[a], x[mark >= 0], mark[mark >= 0]))
-                total += np.concatenate(parts)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "v": total[at]})
-
-        sums = np.concatenate([_moments(w[a], views[a], y) for a in (0, 1)])
-        for r in given.mapInArrow(add, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
-            sums[r["at"]] += r["v"]
-        most = 0.0
-        for a, part in enumerate(np.split(sums, [sizes[0]])):
-            n = len(w[a])
-            penalty = np.diag([*[ridge] * (n - 1), 1e-6])
-            step = np.linalg.solve(part[: n * n].reshape(n, n) + penalty, part[n * n :] - penalty @ w[a])
-            w[a] = w[a] + np.clip(step, -5, 5)
-            most = max(most, float(np.abs(step).max()))
-        if most < 1e-6:
-            break
-    return w
+    sums = _total(rows.filter(F.col("role") == TRAIN), labelled, _SUMS)
+    pool = rows.filter(F.col("role") == POOL)
+    rate, size, past = sums[_TEXT] / max(sums[0] + sums[_TEXT], 1), pool.count(), ()
+    quota = max(1, int(SHARE * size))
+    wanted = {1: int(quota * rate), 0: int(quota * (1 - rate)) + 1}
+    width = TOP * STEPS + 1
+    for _ in range(ROUNDS if size else 0):
+        now = models(sums)
+
+        def replay(batch: pa.RecordBatch, past: tuple):
+            """Both views of the rows, the rows still free, and the labels given in the last round."""
+            x, page = _read(batch)
+            h = batch.column("h").to_numpy(zero_copy_only=False)
+            free, last = [np.ones(len(h), bool), np.ones(len(h), bool)], []
+            for model, cuts in past:
+                last = _give(odds_of(model, x, page), cuts, h, free)
+            return x, page, free, last
+
+        def count(batch: pa.RecordBatch, now=now, past=past) -> np.ndarray:
+            x, page, free, _ = replay(batch, past)
+            out = np.zeros((4, width))
+            for a, odds in enumerate(odds_of(now, x, page)):
+                for label, sure, step in _sides(odds):
+                    out[2 * a + label] = np.bincount(step[sure & free[a]], minlength=width)
+            return out.ravel()
+
+        counts = _total(pool, count, 4 * width).reshape(4, width)
+        cuts = [{label: _cut(counts[2 * a + label], wanted[label]) for label in (0, 1)} for a in (0, 1)]
+        past = (*past, (now, cuts))
 
+        def given(batch: pa.RecordBatch, past=past) -> np.ndarray:
+            x, page, _, last = replay(batch, past)
+            return add_up(x, page, last[1], last[0])
 
-def _one_hot(source: np.ndarray, lang: np.ndarray, size: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(source), SOURCE_BINS + LANG_BINS + 1))
-    out[np.arange(len(source)), source] = 1
-    out[np.arange(len(source)), SOURCE_BINS + lang] = 1
-    out[:, -1] = size
-    return out
+        sums = sums + _total(pool, given, _SUMS)
+    return models(sums)
 
 
 def _bin(c: Column, bins: int) -> Column:
@@ -225,11 +235,12 @@ def _bin(c: Column, bins: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(c.cast("string"), F.lit("\0")), "UTF-8")), F.lit(bins)).cast("int")
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", size: str = "n_chars", label: str = "quality") -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", size: str = "n_chars", label: str = "quality", calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """(key, text_score, page_score, score), one row per row of ``docs``.
 
-    Labels are 0 or 1, others and null count as none.  A quarter of the keys by checksum is never learnt
-    from, another calibrates.  Null texts and metadata have features of their own.  With labels of one
+    Labels are 0 or 1, others and null count as none; equal labels of one key are one, and a key with
+    both is neither learnt from nor unlabelled.  A quarter of the keys by checksum is never learnt from,
+    another calibrates.  Null texts and metadata have features of their own.  With labels of one
     kind only, or none, all scores are that kind's share, or 1/2.
     """
 
@@ -239,45 +250,41 @@ def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
         return pd.Series(list(text_features(texts.tolist())))
 
     measured = F.pandas_udf(measure, "array<double>")
+    length = F.log2(1 + F.greatest(F.lit(0.0), F.coalesce(F.col(size).cast("double"), F.lit(0.0))))
     rows = docs.select(
         F.col(key).alias("_k"),
         measured(F.col(text).cast("string")).alias("f"),
         _bin(F.col(source), SOURCE_BINS).alias("s"),
-        _bin(F.col(lang), LANG_BINS).alias("l"),
-        (F.log1p(F.greatest(F.lit(0.0), F.coalesce(F.col(size).cast("double"), F.lit(0.0)))) / 10).alias("z"),
+        (SOURCE_BINS + _bin(F.col(lang), LANG_BINS)).alias("l"),
+        (SOURCE_BINS + LANG_BINS + F.least(F.lit(LENGTH_BINS - 1), F.floor(2 * length))).cast("int").alias("z"),
     )
-    rows = materialize(rows)
-    marks = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("_k").isNotNull())
-    marks = marks.filter(~held_out(F.col("_k"), 4, 0))
+    marks = labels.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("y"))
+    marks = marks.groupBy("_k").agg(F.min(F.when(F.col("y").isin(0, 1), F.col("y"))).alias("y"), F.max(F.when(F.col("y").isin(0, 1), F.col("y"))).alias("_y"))
+    known = F.col("y").isNotNull() & (F.col("y") == F.col("_y")) & ~held_out(F.col("_k"), 4, 0)
+    role = F.when(F.col("_m").isNull(), POOL).when(~known, NONE).when(held_out(F.col("_k"), 4, 1), CALIBRATE).otherwise(TRAIN)
     h = F.xxhash64("_k", F.lit(17))
-    known = rows.join(marks, "_k").withColumn("cal", held_out(F.col("_k"), 4, 1)).orderBy(h, "_k").limit(LABELLED_ROWS).toPandas()
-    pool = rows.join(labels.select(F.col(key).alias("_k")), "_k", "left_anti").select("f", "s", "l", "z", (F.pmod(h, F.lit(1 << 30)) / (1 << 30)).alias("h"))
-
-    def views(f: pd.DataFrame) -> list[np.ndarray]:
-        return [np.array(f["f"].tolist(), float).reshape(-1, len(TEXT_FEATURES)), _one_hot(f["s"].to_numpy(int), f["l"].to_numpy(int), f["z"].to_numpy(float))]
-
-    y, cal = known["y"].to_numpy(float), known["cal"].to_numpy(bool)
-    if len(set(y[cal])) < 2 or len(set(y[~cal])) < 2:
-        share = float(y.mean()) if len(y) else 0.5
-        return rows.select(F.col("_k").alias(key), *[F.lit(share).alias(c) for c in ("text_score", "page_score", "score")])
-    seen = views(known)
-    centre, scale = seen[0][~cal].mean(0), seen[0][~cal].std(0) + 1e-9
-    seen[0] = (seen[0] - centre) / scale
-    w = co_train([v[~cal] for v in seen], y[~cal], materialize(pool), centre, scale)
-    raw = [_logit(w[a], seen[a][cal]) for a in (0, 1)]
-    curve = [_fit(r[:, None], y[cal], 0.01) for r in raw]
-    flat = np.column_stack([_logit(curve[a], raw[a][:, None]) for a in (0, 1)])
-    both = _fit(flat, y[cal], 0.01)
-
-    text_logit = F.lit(float(w[0][-1] - (w[0][:-1] * centre / scale).sum()))
-    for i in range(len(TEXT_FEATURES)):
-        text_logit = text_logit + F.col("f")[i] * float(w[0][i] / scale[i])
-    table = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    page_logit = table(w[1][:SOURCE_BINS])[F.col("s")] + table(w[1][SOURCE_BINS : SOURCE_BINS + LANG_BINS])[F.col("l")] + F.col("z") * float(w[1][-2]) + float(w[1][-1])
-    t, p = (c * float(v[0]) + float(v[1]) for c, v in zip((text_logit, page_logit), curve, strict=True))
+    rows = rows.join(marks.withColumn("_m", F.lit(True)), "_k", "left").select("_k", "f", "s", "l", "z", "y", role.alias("role"), (F.pmod(h, F.lit(1 << 30)) / (1 << 30)).alias("h"))
+    rows = materialize(rows)
+    shares = {r["role"]: (r["n"], r["one"]) for r in rows.filter(F.col("role").isin(TRAIN, CALIBRATE)).groupBy("role").agg(F.count("*").alias("n"), F.sum("y").alias("one")).collect()}
+    if not all(0 < shares.get(r, (0, 0))[1] < shares.get(r, (0, 0))[0] for r in (TRAIN, CALIBRATE)):
+        n, one = (sum(v[i] for v in shares.values()) for i in (0, 1))
+        return rows.select(F.col("_k").alias(key), *[F.lit(one / n if n else 0.5).alias(c) for c in ("text_score", "page_score", "score")])
+    model = co_train(rows)
+
+    def judge(batches):
+        for batch in batches:
+            t, p = odds_of(model, *_read(batch)) if batch.num_rows else (np.zeros(0), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("role"), batch.column("y"), pa.array(np.round(t, 9)), pa.array(np.round(p, 9))], ["_k", "role", "y", "t", "p"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    scored = materialize(rows.select("_k", "f", "s", "l", "z", "role", "y").mapInArrow(judge, f"_k {kind}, role int, y int, t double, p double"))
+    sample = scored.filter(F.col("role") == CALIBRATE).orderBy(F.xxhash64("_k", F.lit(17)), "_k", "t", "p").limit(calibration_rows).toPandas()
+    y, raw = sample["y"].to_numpy(float), [sample[c].to_numpy(float) for c in ("t", "p")]
+    curve = [_fit(r[:, None], y, 0.01) for r in raw]
+    both = _fit(np.column_stack([r * c[0] + c[1] for r, c in zip(raw, curve, strict=True)]), y, 0.01)
+    t, p = (F.col(name) * float(c[0]) + float(c[1]) for name, c in zip(("t", "p"), curve, strict=True))
     chance = lambda c: F.round(1 / (1 + F.exp(-c)), 6)
-    scored = rows.select("_k", t.alias("t"), p.alias("p"))
-    return scored.select(F.col("_k").alias(key), chance(F.col("t")).alias("text_score"), chance(F.col("p")).alias("page_score"), chance(F.col("t") * float(both[0]) + F.col("p") * float(both[1]) + float(both[2])).alias("score"))
+    return scored.select(F.col("_k").alias(key), chance(t).alias("text_score"), chance(p).alias("page_score"), chance(t * float(both[0]) + p * float(both[1]) + float(both[2])).alias("score"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -460,8 +460,8 @@ def test_co_training_separates_junk(spark):
     assert len(out) == 400
 
 
-def test_every_unlabelled_row_may_be_given(spark, monkeypatch):
-    monkeypatch.setattr(cotraining, "POOL_ROWS", 20, raising=False)
+def test_rounds_equal_a_plain_loop(spark, monkeypatch):
+    """Both classifiers' models from all unlabelled rows, against lists of training rows that grow by sorting."""
     monkeypatch.setattr(cotraining, "SHARE", 0.2)
     rnd = np.random.default_rng(3)
     rows, labels = [], []
@@ -473,28 +473,75 @@ def test_every_unlabelled_row_may_be_given(spark, monkeypatch):
         if i < 300:
             labels.append((i, int(good)))
     docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int")
-    # What the rounds must come to is a plain loop over all unlabelled rows.
     end = []
     train = cotraining.co_train
-    monkeypatch.setattr(cotraining, "co_train", lambda *a: end.append((a, train(*a))) or end[0][1])
+    monkeypatch.setattr(cotraining, "co_train", lambda r: end.append((r, train(r))) or end[0][1])
     cotraining.classify_quality(docs, marks)
-    (views, y, pool, centre, scale), w = end[0]
-    assert pool.count() == 600
-    p = pool.toPandas()
-    pools = [(np.array(p.f.tolist()) - centre) / scale, cotraining._one_hot(p.s.to_numpy(), p.l.to_numpy(), p.z.to_numpy())]
-    own, got = [*views], [y, y]
-    want, free = [cotraining._fit(v, y) for v in views], np.ones((2, 600), bool)
+    p = end[0][0].toPandas()
+    x, page = np.array(p.f.tolist()), p[["s", "l", "z"]].to_numpy()
+    pool, known = p.role.to_numpy() == cotraining.POOL, p.role.to_numpy() == cotraining.TRAIN
+    assert pool.sum() == 600 and 100 < known.sum() < 200
+    y = p.y.to_numpy()
+    own = [(list(np.flatnonzero(known)), list(y[known].astype(int))) for _ in (0, 1)]  # rows and labels of each view
+    share, free = y[known].mean(), [pool.copy(), pool.copy()]
+
+    def fit():
+        sums = np.zeros(cotraining._SUMS)
+        for a in (0, 1):
+            labels_ = [np.full(len(own[a][0]), -1), np.full(len(own[a][0]), -1)]
+            labels_[a] = np.array(own[a][1])
+            sums += cotraining.add_up(x[own[a][0]], page[own[a][0]], *labels_)
+        return cotraining.models(sums)
+
     for _ in range(cotraining.ROUNDS):
-        for a, part in enumerate([1 / (1 + np.exp(-cotraining._logit(want[a], pools[a]))) for a in (0, 1)]):
-            for label, sure, n in ((1, part, int(120 * y.mean())), (0, 1 - part, int(120 * (1 - y.mean())) + 1)):
-                best = np.argsort(-np.where(free[a], sure, -1), kind="stable")[:n]
-                best = best[(sure[best] >= cotraining.SURE) & free[a][best]]
-                free[a][best] = False
-                own[1 - a], got[1 - a] = np.vstack((own[1 - a], pools[a ^ 1][best])), np.append(got[1 - a], np.full(len(best), label))
-        want = [cotraining._fit(own[a], got[a]) for a in (0, 1)]
-    assert (~free).sum() > 100
-    for a in (0, 1):
-        assert np.abs(cotraining._logit(w[a], pools[a]) - cotraining._logit(want[a], pools[a])).max() < 0.05  # a row or two at a cut may differ
+        odds = cotraining.odds_of(fit(), x, page)
+        new = []
+        for a in (0, 1):
+            for label, side, n in ((0, -odds[a], int(120 * (1 - share)) + 1), (1, odds[a], int(120 * share))):
+                sure = [i for i in range(len(x)) if free[a][i] and side[i] >= np.log(19)]
+                best, left = [], n
+                for step in sorted({int(min(side[i], cotraining.TOP) * cotraining.STEPS) for i in sure}, reverse=True):
+                    tied = [i for i in sure if int(min(side[i], cotraining.TOP) * cotraining.STEPS) == step]
+                    # Of the last ones, equally sure, hashes take the part that is still wanted.
+                    best += [i for i in tied if left >= len(tied) or p.h[i] < left / len(tied)]
+                    left -= len(tied)
+                    if left <= 0:
+                        break
+                new.append((1 - a, best, label))
+        for view, best, label in new:
+            free[1 - view][best] = False
+            own[view][0].extend(best)
+            own[view][1].extend([label] * len(best))
+    assert min(len(o[0]) for o in own) > known.sum() + 50
+    for got, want in zip(cotraining.odds_of(end[0][1], x, page), cotraining.odds_of(fit(), x, page), strict=True):
+        assert np.abs(got - want).max() < 1e-4
+
+
+def test_both_views_help_each_other(spark):
+    """A source that no labelled row has is learnt from the text's pseudo-labels."""
+    rnd = random.Random(12)
+    words = ["river", "stone", "green", "walks", "light", "house"]
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 3 == 0
+        text = " ".join("###|" + str(rnd.randint(0, 9)) for _ in range(60)) if bad else prose(rnd, 60, words) + "."
+        rows.append((i, text, "en", ("spam" if bad else "fine") if i >= 300 else "old", 400, "x"))
+        if i < 300:
+            labels.append((i, int(not bad)))
+    out = cotraining.classify_quality(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int")).toPandas().sort_values("doc_id")
+    late = out[out.doc_id >= 300]
+    assert late[late.doc_id % 3 == 0].page_score.max() < late[late.doc_id % 3 != 0].page_score.min()
+
+
+def test_quality_of_odd_rows_after_a_fit(odd, spark):
+    rnd = random.Random(13)
+    rows = [(100 + i, prose(rnd, 40, ["river", "stone", "walks"]) if i % 2 else "#| 1 " * 40, "en", "a", 200, "x") for i in range(120)]
+    rows += [(500, "word " * 200_000, "en", "a", 10**6, "x"), (501, None, None, None, None, None)]
+    labels = [(100 + i, i % 2) for i in range(120)] + [(100, 0), (101, 0), (102, None), (None, 1), (103, 7)]
+    docs = spark.createDataFrame(rows, DOCS).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars", "extra"))
+    out = cotraining.classify_quality(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    got = out.toPandas()
+    assert len(got) == len(rows) + len(ODD) and got.score.between(0, 1).all() and got.score.nunique() > 2
 
 
 def test_quality_of_odd_rows(odd, empty, spark):
