@@ -644,6 +644,39 @@ def test_an_edit_touches_little(counter):
     assert tree.edit(30000, 30004, "other") < 10
 
 
+def test_kept_trees_are_edited_again_and_again(spark, counter, monkeypatch):
+    rnd = random.Random(5)
+    texts = {i: "".join(rnd.choice("ab 'st\n  1!é") for _ in range(rnd.choice([0, 5, 900, 4000]))) for i in range(12)} | {99: None}
+    trees = common.materialize(token_counts.build_trees(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")))
+    e = "doc_id bigint, edits array<struct<start:int,end:int,text:string>>"
+    for _ in range(3):
+        edits = {i: [(a := rnd.randint(0, len(t)), a + rnd.randint(0, 40), rnd.choice(["", "x", " new 'words" * 9]))] for i, t in texts.items() if t and rnd.random() < 0.7}
+        trees = common.materialize(token_counts.apply_edits(trees.join(spark.createDataFrame(list(edits.items()), e), "doc_id", "left")))
+        texts |= {i: texts[i][:a] + new + texts[i][min(b, len(texts[i])) :] for i, [(a, b, new)] in edits.items()}
+        for r in trees.collect():
+            t = texts[r.doc_id] or ""
+            assert (r.text or "") == t and sum(r.leaf_chars) == len(t)
+            assert sum(r.leaf_tokens) == len(counter.encoding.encode_ordinary(t)) and sum(r.leaf_pieces) == len(counter.pattern.findall(t))
+            assert r.n_edits == len(edits.get(r.doc_id, []))
+
+
+def test_a_kept_tree_encodes_touched_leaves_only(counter):
+    text = "some plain words here " * 5000
+    kept = token_counts.TokenTree(text, counter).leaf_sums()
+    asked = []
+
+    class Watch:
+        pattern = counter.pattern
+
+        def __call__(self, pieces):
+            asked.append(len(pieces))
+            return counter(pieces)
+
+    tree = token_counts.TokenTree(text, Watch(), kept)
+    assert tree.total() == len(counter.encoding.encode_ordinary(text)) and not asked
+    assert tree.edit(30000, 30004, "other") < 10 and sum(asked) <= 2 * token_counts.LEAF
+
+
 def test_counts_with_an_edits_column(spark, odd, empty):
     e = "array<struct<start:int,end:int,text:string>>"
     df = spark.createDataFrame([(1, "mail me at a@b.cd now", [(11, 17, "[X]"), (12, 14, "lost")]), (2, None, None), (3, "abc", [(0, 99, "")])], f"doc_id bigint, text string, edits {e}")
