@@ -14,6 +14,8 @@ import hashlib
 import re
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +61,10 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0, key: str = "page_id", ht
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Writes one WARC record per row; revisits have no block, but the length and digest of the payload they stand for."""
+    """Writes one WARC record per row; revisits have no block, but the length and digest of the payload they stand for.
+
+    An archive holds ARCHIVE_BYTES at most, or one record that is longer.
+    """
     d = with_revisits(pages.select(key, url, html), min_bytes, key, html)
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
@@ -77,9 +82,22 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, key: str = "
         F.lit("\r\n"),
         block,
     )
-    stats = pages.agg(F.count("*"), F.sum(F.coalesce(F.octet_length(F.col(html)), F.lit(0)) + F.coalesce(F.octet_length(F.col(url).cast("string")), F.lit(0)))).first()
-    per_file = max(1, int(ARCHIVE_BYTES / (500 + (stats[1] or 0) / max(1, stats[0]))))
-    d.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+
+    def deal(batches):
+        """Numbers files: a task begins another one before it would exceed its bytes."""
+        used = number = 0
+        for batch in batches:
+            numbers = []
+            for size in pc.binary_length(batch.column("value").cast(pa.binary())).to_pylist():
+                if used and used + size + len(END) > ARCHIVE_BYTES:
+                    used, number = 0, number + 1
+                used += size + len(END)
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(numbers, pa.int32())], ["value", "file"])
+
+    bound_batches(pages.sparkSession)
+    dealt = d.select(record.alias("value")).mapInArrow(deal, "value string, file int")
+    dealt.write.option("lineSep", END).partitionBy("file").text(path)
 
 
 _FIELD = re.compile(rb"([A-Za-z-]+): ?(.*?)\r\n")
@@ -150,19 +168,20 @@ def verified_records(spark: SparkSession, path: str) -> DataFrame:
     hop = found.select("path", F.col("pos").alias("at"), F.col("leaves").alias("to"))
     reached = found.filter("pos = 0").select("path", F.col("pos").alias("at"))
     while True:
-        further = reached.join(hop, ["path", "at"]).select("path", F.col("to").alias("at"))
+        # One row per record on either side: shuffled at every size, never sent whole to the executors.
+        further = reached.join(hop.hint("merge"), ["path", "at"]).select("path", F.col("to").alias("at"))
         entries = found.select("path", F.col("pos").alias("at"))
-        reached = materialize(reached.union(further.join(entries, ["path", "at"], "left_semi")).distinct())
+        reached = materialize(reached.union(further.join(entries.hint("merge"), ["path", "at"], "left_semi")).distinct())
         second = hop.select("path", F.col("at").alias("to"), F.col("to").alias("then"))
-        hop = materialize(hop.join(second, ["path", "to"]).select("path", "at", F.col("then").alias("to")))
+        hop = materialize(hop.join(second.hint("merge"), ["path", "to"]).select("path", "at", F.col("then").alias("to")))
         if hop.isEmpty():
             break
-    ends = found.select("path", F.col("pos").alias("at"), "leaves").join(reached, ["path", "at"]).groupBy("path").agg(F.max("leaves").alias("end"))
+    ends = found.select("path", F.col("pos").alias("at"), "leaves").join(reached.hint("merge"), ["path", "at"]).groupBy("path").agg(F.max("leaves").alias("end"))
     broken = files.select("path", "length").filter("length > 0").join(ends, "path", "left").filter(~F.col("end").eqNullSafe(F.col("length"))).select("path", "end").first()
     if broken is not None:
         raise ValueError(f"the records of {broken['path']} end at byte {broken['end'] or 0}, not with the file")
-    entry = found.select("path", "piece", F.col("pos").alias("at")).join(reached, ["path", "at"], "left_semi").groupBy("path", "piece").agg(F.min("at").alias("entry"))
-    rows = found.join(entry, ["path", "piece"]).repartition("path", "piece").sortWithinPartitions("path", "piece", "pos")
+    entry = found.select("path", "piece", F.col("pos").alias("at")).join(reached.hint("merge"), ["path", "at"], "left_semi").groupBy("path", "piece").agg(F.min("at").alias("entry"))
+    rows = found.join(entry.hint("merge"), ["path", "piece"]).repartition("path", "piece").sortWithinPartitions("path", "piece", "pos")
     return rows.select(*_COLUMNS, "entry").mapInPandas(_chain, _SCHEMA)
 
 

@@ -600,6 +600,16 @@ def test_small_payloads_are_not_revisited(spark, tmp_path):
     assert warc.read_archives(spark, path).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    rows = [(i, f"http://h/{i}", f"{i} " + "x" * (50_000 if i == 17 else 200 if i < 40 else 4000)) for i in range(60)]
+    path = tmp_path / "b"
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(2), f"file://{path}")
+    sizes = sorted(f.stat().st_size for f in path.rglob("part-*"))
+    assert len(sizes) > 8 and sizes[-1] > 50_000 and sizes[-2] <= 20_000
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in warc.read_archives(spark, f"file://{path}").collect()) == [(i, h) for i, _, h in rows]
+
+
 def test_long_headers_and_broken_chains(spark, tmp_path):
     rows = [(0, "http://h/0", "a"), (1, "data:," + "x" * 100_000, "b"), (2, "http://h/WARC/1.0", "c"), (3, "http://h/3", "d")]
     path = f"file://{tmp_path}/l"
@@ -608,7 +618,7 @@ def test_long_headers_and_broken_chains(spark, tmp_path):
     assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in out) == rows and all(r.intact for r in out)
     for name, cut in (("cut", lambda b: b[:-30]), ("tail", lambda b: b + b"rest"), ("head", lambda b: b"x" + b)):
         (tmp_path / name).mkdir()
-        for f in (tmp_path / "l").glob("part-*"):
+        for f in (tmp_path / "l").rglob("part-*"):
             (tmp_path / name / f.name).write_bytes(cut(f.read_bytes()))
         with pytest.raises(ValueError, match="not with the file"):
             warc.read_archives(spark, f"file://{tmp_path}/{name}").count()
