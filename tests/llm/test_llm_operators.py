@@ -283,6 +283,23 @@ def test_items_are_found_wherever_they_stand(spark):
     assert {(1000 + i, i) for i in range(1, 6)} <= got and (2000, 0) in got
 
 
+def test_scattered_items_are_found(spark):
+    rnd = random.Random(21)
+    vocabulary = ["".join(rnd.choice("abcdefghijklm") for _ in range(6)) for _ in range(4000)]
+    items = [(i, prose(rnd, 125, vocabulary).split()) for i in range(40)]
+    rows = []
+    for i, w in items:
+        pieces = [w[j : j + 25] for j in range(0, 125, 25)]  # of 121 shingles 105 are left
+        rows.append((i, " ".join(prose(rnd, 300, vocabulary) + " " + " ".join(p) for p in pieces)))
+        rows.append((100 + i, " ".join([prose(rnd, 900, vocabulary), *w[:62], prose(rnd, 900, vocabulary), *w[62:]])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    want = {(d, i) for i, _ in items for d in (i, 100 + i)}
+    exact = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench, exact=True).collect()}
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    assert exact == want and found <= want and len(found) >= 0.98 * len(want)
+
+
 def test_decontamination_of_odd_rows(odd, empty, spark):
     bench = spark.createDataFrame([(1, "no key here at all")], "item_id bigint, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, bench).collect()] == [(None, 1)]
