@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -70,8 +71,25 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and reads them back."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing still to be computed reads, and has Spark drop what it kept for them.
+
+    Shuffle files and broadcasts go once neither Python nor the JVM refers to them, so both are asked to look.
+    """
+    spark = None
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if spark is not None:
+        spark._jvm.System.gc()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -84,29 +102,39 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     flat = materialize(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).filter("v <> u").distinct())
 
-    def star(e: DataFrame, large: bool, most: int) -> DataFrame:
+    def star(e: DataFrame, large: bool, hubs: DataFrame | None) -> DataFrame:
         out = e.select(F.col("v").alias("x"), F.col("u").alias("y"))
         if large:
             out = out.union(e.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        low = out.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
-        # Centres of very many edges, 2 * HUBS at most as every edge has two ends, are dealt to several tasks.
-        hub = low.filter(F.col("n") > max(HUB_EDGES, most // HUBS)).select("x", F.lit(True).alias("hub"))
-        salts = F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))).otherwise(F.array(F.lit(0)))
-        low = low.join(F.broadcast(hub), "x", "left").select("x", "m", F.explode(salts).alias("salt"))
-        kept = out.filter("y > x") if large else out
-        salt = F.when(F.col("hub"), F.pmod(F.xxhash64("y"), F.lit(HUB_SALTS)).cast("int")).otherwise(0)
-        kept = kept.join(F.broadcast(hub), "x", "left").select("x", "y", salt.alias("salt"))
-        moved = kept.join(low, ["x", "salt"]).select(F.col("y").alias("v"), F.col("m").alias("u"))
+        low = out.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        kept, keys, near = out.filter("y > x") if large else out, ["x"], low
+        if hubs is not None:
+            salts = F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))).otherwise(F.array(F.lit(0)))
+            near = low.join(F.broadcast(hubs), "x", "left").select("x", "m", F.explode(salts).alias("salt"))
+            salt = F.when(F.col("hub"), F.pmod(F.xxhash64("y"), F.lit(HUB_SALTS)).cast("int")).otherwise(0)
+            kept, keys = kept.join(F.broadcast(hubs), "x", "left").select("x", "y", salt.alias("salt")), ["x", "salt"]
+        moved = kept.join(near, keys).select(F.col("y").alias("v"), F.col("m").alias("u"))
         if not large:
             moved = moved.union(low.select(F.col("x").alias("v"), F.col("m").alias("u")))
         return moved.filter("v <> u").distinct()
 
+    def hubs_of(e: DataFrame, n: int) -> DataFrame | None:
+        """Nodes of so many edges that they are dealt to several tasks; 2 * HUBS at most, as every edge has two ends."""
+        most = max(HUB_EDGES, n // HUBS)
+        if n <= most:
+            return None
+        ends = e.select(F.col("v").alias("x")).union(e.select("u")).groupBy("x").agg(F.count("*").alias("n"))
+        found = [(r["x"], True) for r in ends.filter(F.col("n") > most).select("x").collect()]
+        return e.sparkSession.createDataFrame(found, e.select(F.col("u").alias("x"), F.lit(True).alias("hub")).schema) if found else None
+
     def print_of(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
 
     last = print_of(flat)
     while last[0]:
-        flat = materialize(star(star(flat, True, last[0]), False, last[0]))
+        hubs, old = hubs_of(flat, last[0]), flat
+        flat = materialize(star(star(flat, True, hubs), False, hubs))
+        discard(old)
         now = print_of(flat)
         if now == last:
             break

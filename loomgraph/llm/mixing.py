@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import load, materialize, named, seeded, words
+from loomgraph.llm.common import discard, load, materialize, named, seeded, words
 from loomgraph.operators.graph import assign_ids
 
 #: Documents, or unsettled documents of lower groups, in a group of the tree on average.
@@ -180,6 +180,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: t
     level, reserve, done = rows.filter(open_row & (F.col("_g") >= 0)), rows.filter(open_row & (F.col("_g") < 0)), []
     small = ["source", "_id", "_size", "_h", "_p", "_g"]
     level, reserve = level.select(*small), reserve.select(*small[:-1], F.lit(0).cast("long").alias("_g"))
+    discard(per_band, plan)
     groups, step = max(1, -(-(per_source.agg(F.max("_all")).first()[0] or 0) // FANOUT)), 0
     while True:
         if groups == 1:

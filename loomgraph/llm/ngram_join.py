@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from loomgraph.llm.common import bound_batches, connected_components, load, materialize
+from loomgraph.llm.common import bound_batches, connected_components, discard, load, materialize
 from loomgraph.llm.textkit import BLANKS, batches, mix, shingle_hashes, word_hashes
 
 SHINGLE, PERCENT = 4, 85
@@ -153,7 +153,9 @@ def _blocks(reps: DataFrame, size: int, percent: int) -> DataFrame:
     low = prefix.groupBy("token", "band").agg(F.min("k").alias("low"))
     upper = low.select("token", (F.col("band") - 1).alias("band"), F.col("low").alias("b"))
     across = low.join(upper, ["token", "band"]).select(F.col("low").alias("a"), "b").filter("a <> b")
-    return connected_components(_lowest(prefix, ["token", "band"], "k").union(across).distinct())
+    blocks = materialize(connected_components(_lowest(prefix, ["token", "band"], "k").union(across).distinct()))
+    discard(prefix)
+    return blocks
 
 
 class Cell:
@@ -276,7 +278,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     partner = F.expr(f"({percent} * n + 99) div 100")
     common = F.greatest(F.lit(1), F.least(F.expr(f"({percent} * p + 99) div 100"), F.expr(f"{100 - percent} * p div 100")))
     able = profiles.filter("n > 0").join(_shared_counts(profiles), "k").withColumn("p", partner).filter(F.col("shared") >= common).select("k", "n", "d1", "d2")
+    sizes = materialize(profiles.select("k", "n"))
     able = materialize(able.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")))
+    discard(profiles)
     same = ["n", "d1", "d2"]
     parts = able.groupBy(*same, "salt").agg(F.min("k").alias("low"), F.count("*").alias("c"))
     classes = parts.groupBy(*same).agg(F.min("low").alias("rep"), F.sum("c").alias("copies"))
@@ -287,17 +291,18 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     blocks = _blocks(reps, size, percent).withColumnRenamed("node", "k").withColumnRenamed("component", "block")
     placed = reps.join(blocks.hint("shuffle_hash"), "k")
     words_of = F.octet_length("t") / 6
-    sizes = placed.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum(words_of) / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    placed = placed.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int"))
+    chunks = placed.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum(words_of) / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    placed = placed.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     left, right = F.least("chunk", "other").cast("int"), F.greatest("chunk", "other").cast("int")
     cells = placed.select(F.concat_ws(":", "block", left, right).alias("cell"), left.alias("left"), right.alias("right"), "chunk", "k", "copies", "t")
     links = materialize(_links(cells, size, percent))
+    discard(able, reps)
     tops = connected_components(links.filter("k <> root").select(F.col("k").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("k").agg(F.sum("links").alias("links"))
     found = counted.join(tops.withColumnRenamed("node", "k"), "k", "left").select(F.col("k").alias("rep"), "links", "component")
     each = member.join(of_part.select("rep", "salt").join(found, "rep"), ["rep", "salt"], "left").groupBy("k").agg(F.min(F.coalesce("component", "rep")).alias("c"), F.max(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("l"))
-    out = profiles.select("k", "n").join(each, "k", "left")
+    out = sizes.join(each, "k", "left")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("c", "k").alias("component_id"), F.coalesce("l", F.lit(0)).cast("long").alias("n_links"))
 
 

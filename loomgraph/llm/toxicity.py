@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bound_batches, load, materialize
+from loomgraph.llm.common import bound_batches, discard, load, materialize
 from loomgraph.llm.langid import held_out
 from loomgraph.llm.textkit import mix
 
@@ -334,7 +334,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from=None, key: str
     marks = marks.withColumn("fold", F.pmod(F.xxhash64("k"), F.lit(FOLDS)).cast("int"))
     body = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
     labelled = body.join(marks.hint("shuffle_hash"), "k")
-    model = materialize(model_table(materialize(count_grams(labelled))))
+    counts = materialize(count_grams(labelled))
+    model = materialize(model_table(counts))
+    discard(counts)
     # At most ``calibration_rows`` rows, so they may go to the documents.
     some = materialize(marks.orderBy(F.xxhash64("k", F.lit(3)), "k", "toxic").limit(calibration_rows))
     sample = materialize(body.join(F.broadcast(some), "k"))
