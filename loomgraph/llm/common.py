@@ -78,18 +78,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing still to be computed reads, and has Spark drop what it kept for them.
+    """Deletes written tables that nothing still to be computed reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._folder)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    release(tables[0].sparkSession)
+
 
-    Shuffle files and broadcasts go once neither Python nor the JVM refers to them, so both are asked to look.
+def release(spark: SparkSession) -> None:
+    """Has Spark drop the shuffle files and broadcasts of finished work.
+
+    They go once neither Python nor the JVM refers to their plans, so both are asked to look.
     """
-    spark = None
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
-    if spark is not None:
-        spark._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from loomgraph.llm.common import bound_batches, connected_components, discard, load, materialize
+from loomgraph.llm.common import bound_batches, connected_components, discard, load, materialize, release
 from loomgraph.llm.textkit import BLANKS, batches, mix, shingle_hashes, word_hashes
 
 SHINGLE, PERCENT = 4, 85
@@ -132,8 +132,8 @@ def _lowest(rows: DataFrame, by: list[str], node: str) -> DataFrame:
     return inside.union(part.join(low, by).select(F.col("low"), F.col("least"))).filter("a <> b")
 
 
-def _blocks(reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, component): documents that the prefix filter ties together, directly or by others."""
+def _rare_prefixes(reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """(k, band, token): the first shared shingles of every document from rare to frequent, and its size's band."""
 
     def explode(frames):
         for f in frames:
@@ -148,8 +148,13 @@ def _blocks(reps: DataFrame, size: int, percent: int) -> DataFrame:
     # The rarest n - ceil(percent * n) + 1 shingles; those of one document alone come first and tie nothing.
     length = F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 - (n - size(s)) as int)")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log((percent - 1) / 100)))
-    prefix = shared.withColumn("m", length).filter("m > 0").select("k", band.alias("band"), F.explode(F.slice("s", F.lit(1), F.col("m"))).alias("x")).select("k", "band", F.col("x.token").alias("token"))
-    prefix = materialize(prefix)
+    return shared.withColumn("m", length).filter("m > 0").select("k", band.alias("band"), F.explode(F.slice("s", F.lit(1), F.col("m"))).alias("x")).select("k", "band", F.col("x.token").alias("token"))
+
+
+def _blocks(reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component): documents that the prefix filter ties together, directly or by others."""
+    prefix = materialize(_rare_prefixes(reps, size, percent))
+    release(reps.sparkSession)
     low = prefix.groupBy("token", "band").agg(F.min("k").alias("low"))
     upper = low.select("token", (F.col("band") - 1).alias("band"), F.col("low").alias("b"))
     across = low.join(upper, ["token", "band"]).select(F.col("low").alias("a"), "b").filter("a <> b")
@@ -288,6 +293,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     member = materialize(able.join(of_part, [*same, "salt"]).select("k", "salt", "rep", "copies"))
     reps = member.filter("k = rep").select("k", "copies").groupBy("k").agg(F.max("copies").alias("copies"))
     reps = materialize(some.join(reps.hint("shuffle_hash"), "k"))
+    release(docs.sparkSession)
     blocks = _blocks(reps, size, percent).withColumnRenamed("node", "k").withColumnRenamed("component", "block")
     placed = reps.join(blocks.hint("shuffle_hash"), "k")
     words_of = F.octet_length("t") / 6
