@@ -22,8 +22,8 @@ from loomgraph.llm.common import bound_batches, load, named
 DIMS, GRAM, SEED = 1024, 3, 5
 #: Prototypes that may be sent to executors: more than there are language codes, 32 MB.
 MAX_LANGUAGES = 8192
-#: Documents bundled at once.
-BLOCK = 128
+#: Documents, and characters, bundled at once; a longer text is cut into pieces.
+BLOCK, BLOCK_CHARS = 128, 1 << 19
 #: N-gram vectors a worker keeps, 32 MB; beyond that it starts anew.
 KEPT_GRAMS = 1 << 15
 UNKNOWN = "und"
@@ -38,7 +38,7 @@ class Bundler:
         letter = np.fromiter((chr(c).isalpha() for c in points), bool, 0x110000)
         lower = np.fromiter((ord(x) if len(x := chr(c).lower()) == 1 else c for c in points), np.uint32, 0x110000)
         #: Lower-cased code point of letters, 0 for all else.
-        self.fold = np.where(letter, lower, 0).astype(np.int64)
+        self.fold = np.where(letter, lower, 0).astype(np.int32)
         self.letters: dict[int, np.ndarray] = {}
         self.known, self.vectors = np.empty(0, np.int64), np.empty((0, dims), np.int8)
 
@@ -51,14 +51,18 @@ class Bundler:
         """Codes of the text's n-grams of letters; a run of other characters is one blank.  Empty without letters."""
         if not isinstance(text, str):
             return np.empty(0, np.int64)
+        s = self._symbols(text)
+        return self._codes(s) if s.any() else np.empty(0, np.int64)
+
+    def _symbols(self, text: str) -> np.ndarray:
         s = self.fold[np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
-        s = s[(s != 0) | (np.concatenate(([1], s[:-1])) != 0)]
-        if not s.any():
-            return np.empty(0, np.int64)
+        return s[(s != 0) | (np.concatenate(([1], s[:-1])) != 0)]
+
+    def _codes(self, s: np.ndarray) -> np.ndarray:
         n = len(s) - self.gram + 1
         code = np.zeros(n, np.int64)
         for i in range(self.gram):
-            code = (code << 21) | s[i : n + i]
+            code = (code << 21) | s[i : n + i].astype(np.int64)
         return code
 
     def _learn(self, codes: np.ndarray) -> None:
@@ -79,17 +83,37 @@ class Bundler:
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """One row per text: the sum of its n-gram vectors (float32), zero without letters."""
-        grams = [self.grams_of(t) for t in texts]
-        which = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
+        out, low, used = np.zeros((len(texts), self.dims), np.float32), 0, 0
+        for i, t in enumerate(texts):
+            size = len(t or "")
+            if size > BLOCK_CHARS:
+                # A long text is the sum of its pieces; they overlap by what an n-gram needs.
+                s, step = self._symbols(t), BLOCK_CHARS
+                for at in range(0, len(s) if s.any() else 0, step):
+                    piece = s[at : at + step + self.gram - 1]
+                    if len(piece) >= self.gram:
+                        out[i] += self._add([self._codes(piece)])[0]
+            if size > BLOCK_CHARS or used + size > BLOCK_CHARS:
+                out[low:i] += self._add([self.grams_of(x) for x in texts[low:i]])
+                low, used = (i + 1, 0) if size > BLOCK_CHARS else (i, size)
+            else:
+                used += size
+        out[low:] += self._add([self.grams_of(x) for x in texts[low:]])
+        return out
+
+    def _add(self, grams: list[np.ndarray]) -> np.ndarray:
+        if not grams:
+            return np.zeros((0, self.dims), np.float32)
+        which = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
         codes, at = np.unique(np.concatenate(grams), return_inverse=True)
-        out = np.zeros((len(texts), self.dims), np.float32)
+        out = np.zeros((len(grams), self.dims), np.float32)
         for low in range(0, len(codes), 4096):  # bounds the dense counts for rich alphabets
             part = codes[low : low + 4096]
             self._learn(part)
             mine = (at >= low) & (at < low + 4096)
-            counts = np.bincount(which[mine] * len(part) + (at[mine] - low), minlength=len(texts) * len(part))
+            counts = np.bincount(which[mine].astype(np.int64) * len(part) + (at[mine] - low), minlength=len(grams) * len(part))
             rows = self.vectors[np.searchsorted(self.known, part)].astype(np.float32)
-            out += counts.reshape(len(texts), len(part)).astype(np.float32) @ rows
+            out += counts.reshape(len(grams), len(part)).astype(np.float32) @ rows
         return out
 
 

@@ -21,6 +21,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -87,37 +88,36 @@ def _shared_counts(profiles: DataFrame) -> DataFrame:
     twice it counts itself and sends without an owner.
     """
 
-    def flush(keys: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
-        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    def flush(keys: np.ndarray, tokens: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
         twice = ~new | np.concatenate((~new[1:], [False]))
-        ids, here = np.array(keys, np.int64), np.bincount(owner, twice, minlength=len(keys)).astype(np.int64)
+        here = np.bincount(owner, twice, minlength=len(keys)).astype(np.int64)
         counted = np.flatnonzero(here)
-        alone = ids[owner[new]].astype(object)
-        alone[twice[new]] = None
         # Counts travel under keys that look like shingles, so that they are dealt as evenly.
-        return pd.DataFrame({
-            "token": np.concatenate((tokens[new], mix(ids[counted].view(np.uint64)).view(np.int64))),
-            "k": pd.array(np.concatenate((alone, ids[counted].astype(object))), "Int64"),
-            "n": np.concatenate((np.zeros(new.sum(), np.int64), here[counted])),
-        })
-
-    def pack(frames):
-        keys, sets, used = [], [], 0
-        for f in frames:
-            for k, s in zip(f["k"].tolist(), f["prefix"], strict=True):
-                keys.append(k)
-                sets.append(s)
-                used += len(s)
-                if used >= BATCH_TOKENS:
-                    yield flush(keys, sets)
-                    keys, sets, used = [], [], 0
-        if keys:
-            yield flush(keys, sets)
-
-    sent = profiles.filter("k is not null and n > 0").select("k", "prefix").mapInPandas(pack, "token bigint, k bigint, n bigint")
+        token = np.concatenate((tokens[new], mix(keys[counted].view(np.uint64)).view(np.int64)))
+        who = np.concatenate((keys[owner[new]], keys[counted]))
+        n = np.concatenate((np.zeros(new.sum(), np.int64), here[counted]))
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(who, mask=np.concatenate((twice[new], np.zeros(len(counted), bool)))), pa.array(n)], ["token", "k", "n"])
+
+    def pack(batches):
+        held, used = [], 0
+        for batch in batches:
+            prefix = batch.column("prefix")
+            held.append((batch.column("k").to_numpy(), prefix.flatten().to_numpy(), prefix.value_lengths().to_numpy()))
+            used += len(held[-1][1])
+            if used >= BATCH_TOKENS:
+                yield flush(*join(held))
+                held, used = [], 0
+        if used:
+            yield flush(*join(held))
+
+    def join(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, tokens, sizes = (np.concatenate([h[i] for h in held]) for i in range(3))
+        return keys, tokens, np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
+
+    sent = profiles.filter("k is not null and n > 0").select("k", "prefix").mapInArrow(pack, "token bigint, k bigint, n bigint")
     met = F.count_if(F.col("n") == 0).over(Window.partitionBy("token"))
     found = sent.withColumn("met", met).filter("k is not null and (n > 0 or met > 1)")
     return found.groupBy("k").agg(F.sum(F.greatest("n", F.lit(1))).alias("shared"))

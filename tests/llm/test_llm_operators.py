@@ -723,3 +723,12 @@ def test_redactions():
 def test_folds(spark):
     got = {r.i: r.h for r in spark.range(50).select(F.col("id").alias("i"), langid.held_out(F.col("id"), 3, 1).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)}
+
+
+def test_long_texts_are_bundled_in_pieces(monkeypatch):
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice("abc é. ") for _ in range(n)) for n in (5, 300, 5000, 0, 40, 9000, 20)] + [None]
+    bundler = langid.Bundler(256)
+    whole = bundler.bundle(texts)
+    monkeypatch.setattr(langid, "BLOCK_CHARS", 700)
+    assert (bundler.bundle(texts) == whole).all()
