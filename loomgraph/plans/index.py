@@ -136,7 +136,7 @@ def build(spark: SparkSession, root: str, cache: DataFrame | None = None) -> tup
     """All tables of a tree and its statistics; ``cache`` is the extraction of an earlier build."""
     files = materialize(scan.scan_tree(spark, root))
     kept, todo = scan.split_cached(files, cache)
-    fresh = materialize(extract(todo, scan.manifest_evidence(root)))
+    fresh = materialize(extract(todo, scan.manifest_evidence(spark, root)))
     parsed = fresh.count()
     extracted = fresh if kept is None else materialize(kept.unionByName(fresh))
     t = tables(extracted)

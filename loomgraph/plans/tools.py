@@ -179,7 +179,7 @@ class Tools:
 
     def extract_file(self, path: str) -> dict:
         files = scan.scan_tree(self.spark, self.root).filter(F.col("path") == path)
-        one = index.extract(files, scan.manifest_evidence(self.root)).first()
+        one = index.extract(files, scan.manifest_evidence(self.spark, self.root)).first()
         if one is None:
             raise ValueError(f"no source file {path}")
         return one.asDict(recursive=True)

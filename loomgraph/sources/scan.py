@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import fnmatch
 import json
-import os
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources.storage import Folder
+
 
 #: Languages by file extension.
 EXTENSIONS = {
@@ -70,20 +71,24 @@ def _wanted(df: DataFrame) -> DataFrame:
 
 
 def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, str, bool]]:
-    """(directory, pattern, negated) of all ignore files, in order of path and line; small by nature."""
-    base = root.removeprefix("file://")
-    if not os.path.isdir(base):
-        return []
-    out = []
-    for folder, dirs, names in os.walk(base):
-        dirs[:] = sorted(d for d in dirs if d not in SKIP_DIRS)
-        if ".gitignore" in names:
-            with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
-                rel = os.path.relpath(folder, base).replace(os.sep, "/")
-                for line in f.read().splitlines():
-                    p = line.rstrip()
-                    if p and not p.startswith("#"):
-                        out.append(("" if rel == "." else rel, p.lstrip("!"), p.startswith("!")))
+    """(directory, pattern, negated) of all ignore files, in order of path and line; small by nature.
+
+    Listings leave hidden files out, so they are looked for in every directory above a listed file.
+    """
+    wanted = ~F.col("path").rlike(r"(^|/)(" + "|".join(map(_quoted, SKIP_DIRS)) + r"|\.[^/]*)/")
+    parents = _listed(spark, root, False).filter(wanted).select(F.regexp_extract("path", "^(?:(.*)/)?[^/]*$", 1).alias("d")).distinct()
+    folders = {""}
+    for (d,) in parents.toLocalIterator():
+        while d not in folders:
+            folders.add(d)
+            d = d.rpartition("/")[0]
+    base, out = Folder(spark, root), []
+    for rel in sorted(folders):
+        text = base.read(f"{rel}/.gitignore" if rel else ".gitignore")
+        for line in (text or "").splitlines():
+            p = line.rstrip()
+            if p and not p.startswith("#"):
+                out.append((rel, p.lstrip("!"), p.startswith("!")))
     return out
 
 
@@ -159,15 +164,13 @@ def skipped_files(files: DataFrame, processed: DataFrame, limit: int = 50) -> tu
     return left.count(), [r[0] for r in left.orderBy("path").limit(limit).collect()]
 
 
-def manifest_evidence(root: str) -> list[str]:
+def manifest_evidence(spark: SparkSession, root: str) -> list[str]:
     """Lower-case dependency names of the root's manifests, and the text of Python ones."""
-    base, out = root.removeprefix("file://"), []
+    base, out = Folder(spark, root), []
     for name in MANIFESTS:
-        path = os.path.join(base, name)
-        if not os.path.isfile(path):
+        text = base.read(name)
+        if text is None:
             continue
-        with open(path, encoding="utf-8", errors="replace") as f:
-            text = f.read()
         if name.endswith(".json"):
             try:
                 data = json.loads(text)
