@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import correlate, graph, resolve
+from loomgraph.operators import correlate, graph, resolve, routes
 from loomgraph.operators import vectors as V
 from loomgraph.operators.traverse import effect_features
 from loomgraph.plans.lineage import materialize
@@ -88,11 +88,11 @@ def tables(extracted: DataFrame) -> dict[str, DataFrame]:
 
 
 def _handlers(rows: DataFrame, functions: DataFrame) -> DataFrame:
-    """Handlers by name: the only one in the file, by type if it is known, else the only one anywhere."""
+    """Handlers by name, unless already known: the only one in the file, by type if it is known, else the only one anywhere."""
     f = functions.filter(~F.col("is_toplevel")).select(F.col("id").alias("fn"), F.col("name").alias("handler"), "file_id", "containing_type")
     here = rows.join(f, ["handler", "file_id"]).filter("handler_type is null or handler_type = containing_type").groupBy("row").agg(F.count("*").alias("n"), F.min("fn").alias("h1")).filter("n = 1")
     lone = f.groupBy("handler").agg(F.count("*").alias("n"), F.min("fn").alias("h2")).filter("n = 1").drop("n")
-    return rows.join(here.select("row", "h1"), "row", "left").join(lone, "handler", "left").withColumn("handler", F.coalesce("h1", "h2")).drop("h1", "h2", "handler_type")
+    return rows.join(here.select("row", "h1"), "row", "left").join(lone, "handler", "left").withColumn("handler", F.when(F.col("typed"), F.col("known")).otherwise(F.coalesce("h1", "h2"))).drop("h1", "h2", "handler_type", "known", "typed")
 
 
 def detections(extracted: DataFrame, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -103,7 +103,9 @@ def detections(extracted: DataFrame, t: dict[str, DataFrame]) -> dict[str, DataF
     declared = e.select("file_id", F.posexplode("iac").alias("n", "x")).select("file_id", (F.col("n") + 100000).alias("n"), "x.*", F.lit(None).cast("string").alias("handler_type"), F.lit(None).cast("string").alias("var"))
     declared = declared.withColumn("handler", F.regexp_extract(F.regexp_replace("handler", r"\(\)$", ""), r"([A-Za-z_]\w*)$", 1))
     rows = code.unionByName(declared, allowMissingColumns=True)
-    rows = materialize(graph.assign_ids(rows, ["file_id", "line", "n"], "row"))
+    facts = materialize(e.select(F.explode("found.facts").alias("x")).select("x.*"))
+    rows = routes.complete(rows, facts, t["functions"], t["hierarchy"])
+    rows = materialize(graph.assign_ids(rows, ["file_id", "line", "n", "method", "path"], "row"))
     mounts = e.select("file_id", F.posexplode("found.mounts").alias("ord", "m")).select("file_id", "ord", F.col("m.target").alias("path"), F.col("m.prefix").alias("prefix"))
     wanted = mounts.select("file_id", "ord", "path", F.array().cast("array<string>").alias("names"))
     # Python mounts name a bound module or a dotted path; both resolve as imports do.
@@ -111,6 +113,7 @@ def detections(extracted: DataFrame, t: dict[str, DataFrame]) -> dict[str, DataF
     wanted = wanted.join(bound, ["file_id", "path"], "left").withColumn("path", F.coalesce(F.when(F.col("module").contains("."), F.col("module")), "module", "path")).select("file_id", "ord", "path", "names").dropDuplicates(["file_id", "ord"])
     targets = resolve.classify_imports(wanted, t["files"]).filter("resolved_file is not null").select("file_id", "ord", "resolved_file")
     links = mounts.join(targets, ["file_id", "ord"]).select(F.col("resolved_file").alias("child"), F.col("file_id").alias("parent"), "prefix").filter("child <> parent")
+    links = links.join(t["files"].select(F.col("id").alias("child"), "language"), "child").withColumn("hops", F.when(F.col("language") == "python", 12).when(F.col("language") == "go", 8).otherwise(4)).drop("language")
     prefixes = correlate.compose_prefixes(links).withColumnRenamed("child", "file_id").withColumn("mounted", F.lit(True))
     rows = rows.join(prefixes, "file_id", "left")
     full = F.when(F.col("mounted") & F.col("prefix").isNotNull(), T.join_prefix(F.col("prefix"), F.col("path"))).otherwise(F.col("path"))
@@ -135,8 +138,11 @@ def detections(extracted: DataFrame, t: dict[str, DataFrame]) -> dict[str, DataF
 def build(spark: SparkSession, root: str, cache: DataFrame | None = None) -> tuple[dict[str, DataFrame], dict]:
     """All tables of a tree and its statistics; ``cache`` is the extraction of an earlier build."""
     files = materialize(scan.scan_tree(spark, root))
+    proof = scan.manifest_evidence(spark, root)
+    if cache is not None and cache.schema.simpleString() != extract(files, proof).schema.simpleString():
+        cache = None  # of an earlier layout
     kept, todo = scan.split_cached(files, cache)
-    fresh = materialize(extract(todo, scan.manifest_evidence(spark, root)))
+    fresh = materialize(extract(todo, proof))
     parsed = fresh.count()
     extracted = fresh if kept is None else materialize(kept.unionByName(fresh))
     t = tables(extracted)

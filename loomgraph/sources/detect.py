@@ -17,18 +17,21 @@ _JS, _JVM = ("javascript", "typescript", "tsx"), ("java", "kotlin")
 #: The routes of a REST resource as (action, method, path), for lists and for single ones.
 RESOURCE = [("index", "GET", ""), ("create", "GET", "/create"), ("store", "POST", ""), ("show", "GET", "/{id}"), ("edit", "GET", "/{id}/edit"), ("update", "PUT", "/{id}"), ("destroy", "DELETE", "/{id}")]
 RAILS = [("index", "GET", ""), ("new", "GET", "/new"), ("create", "POST", ""), ("show", "GET", "/:id"), ("edit", "GET", "/:id/edit"), ("update", "PATCH", "/:id"), ("destroy", "DELETE", "/:id")]
+#: The routes of a registered view set as (action, method, path).
+VIEWSET = [("list", "GET", ""), ("create", "POST", ""), ("retrieve", "GET", "/{pk}"), ("update", "PUT", "/{pk}"), ("partial_update", "PATCH", "/{pk}"), ("destroy", "DELETE", "/{pk}")]
 #: Block functions of test runners and the modifiers that may follow them.
 BLOCKS = {"cpp": ["TEST_CASE", "SCENARIO", "SECTION"], "ruby": ["it", "specify", "example", "scenario", "test", "describe", "context", "feature"], "js": ["it", "test", "describe", "context", "suite", "bench"]}
 GROUPS = {"cpp": ["SCENARIO"], "ruby": ["describe", "context", "feature"], "js": ["describe", "context", "suite"]}
 MODIFIERS = ["only", "skip", "todo", "each", "concurrent", "failing", "sequential", "fails"]
 
-ENDPOINTS = "array<struct<kind:string,method:string,path:string,framework:string,line:int,handler:string,handler_type:string,high:boolean,var:string>>"
+ENDPOINTS = "array<struct<kind:string,method:string,path:string,framework:string,line:int,handler:string,handler_type:string,high:boolean,var:string,versions:array<string>,action:string>>"
 CLIENTS = "array<struct<kind:string,method:string,url:string,library:string,line:int,caller:int,high:boolean>>"
 MOUNTS = "array<struct<target:string,prefix:string,line:int>>"
 CASES = "array<struct<name:string,framework:string,kind:string,line:int,suite:string,function:int>>"
 NATIVES = "array<struct<module:string,alias:string,method:string,mechanism:string,function:int>>"
 JSCALLS = "array<struct<module:string,method:string,line:int,caller:int,high:boolean>>"
-SCHEMA = f"endpoints {ENDPOINTS}, clients {CLIENTS}, mounts {MOUNTS}, cases {CASES}, natives {NATIVES}, bridge_calls {JSCALLS}"
+FACTS = "array<struct<kind:string,name:string,value:string>>"
+SCHEMA = f"endpoints {ENDPOINTS}, clients {CLIENTS}, mounts {MOUNTS}, cases {CASES}, natives {NATIVES}, bridge_calls {JSCALLS}, facts {FACTS}"
 
 
 def strings(x: dict, index: int | None = None) -> list[str]:
@@ -70,7 +73,7 @@ class File:
         self.functions = record["functions"]
         self.text = " ".join([i["path"].lower() for i in record["imports"]] + [f"implements:{h['base']}".lower() for h in record["hierarchy"]])
         self.project = " ".join(evidence)
-        self.out = {"endpoints": [], "clients": [], "mounts": [], "cases": [], "natives": [], "bridge_calls": []}
+        self.out = {"endpoints": [], "clients": [], "mounts": [], "cases": [], "natives": [], "bridge_calls": [], "facts": []}
         self.calls = sorted(((c, i) for i, f in enumerate(self.functions) for c in f["calls"]), key=lambda x: (x[0]["start"], -x[0]["end"]))
         self.types: dict[str, list[dict]] = {}
         for d in record["type_decorations"]:
@@ -84,8 +87,8 @@ class File:
         text = self.text + (" " + self.project if project else "")
         return any(n in text for n in needles)
 
-    def endpoint(self, method: str, path: str, framework: str, line: int, handler=None, owner=None, high=True, kind="http", var=None) -> None:
-        self.out["endpoints"].append({"kind": kind, "method": method, "path": path, "framework": framework, "line": line, "handler": handler, "handler_type": owner, "high": high and "${" not in path, "var": var})
+    def endpoint(self, method: str, path: str, framework: str, line: int, handler=None, owner=None, high=True, kind="http", var=None, versions=None, action=None) -> None:
+        self.out["endpoints"].append({"kind": kind, "method": method, "path": path, "framework": framework, "line": line, "handler": handler, "handler_type": owner, "high": high and "${" not in path, "var": var, "versions": versions, "action": action})
 
     def client(self, method: str, url: str, library: str, line: int, caller: int, high=True, kind="http") -> None:
         self.out["clients"].append({"kind": kind, "method": method, "url": url, "library": library, "line": line, "caller": caller, "high": high})
@@ -112,9 +115,9 @@ def _decorated(f: File) -> None:
                 f.endpoint(verb.upper(), path, "aiohttp", fn["start_line"], fn["name"], owner)
             elif f.language in _JS and f.has("@nestjs") and (m := method_of(d["name"])) and d["name"][:1].isupper():
                 prefixes = [p for t in above if t["name"] == "Controller" for p in (strings(t) or keyed(t, "path") or [""])] or [""]
-                versions = [v for t in above if t["name"] == "Controller" for v in keyed(t, "version")]
+                versions = [v for x in fn["decorations"] if x["name"] == "Version" for v in strings(x)] or [v for t in above if t["name"] == "Controller" for v in keyed(t, "version")]
                 for p in prefixes:
-                    f.endpoint(m, join(f"v{versions[0]}/{p}" if versions else p, path), "nestjs", fn["start_line"], fn["name"], owner)
+                    f.endpoint(m, join(p, path), "nestjs", fn["start_line"], fn["name"], owner, versions=versions or None)
             elif f.language in _JVM and d["name"].split(".")[-1] in ("GetMapping", "PostMapping", "PutMapping", "DeleteMapping", "PatchMapping", "RequestMapping") and f.has("springframework"):
                 name = d["name"].split(".")[-1]
                 stated = [m.rsplit(".", 1)[-1].upper() for m in keyed(d, "method")]
@@ -239,6 +242,32 @@ def _js(f: File, prefix: dict[str, str]) -> None:
             f.out["bridge_calls"].append({"module": c["receiver"], "method": c["name"], "line": c["line"], "caller": i, "high": False})
 
 
+def _nest_facts(f: File) -> None:
+    """What a Nest project states once for all its controllers."""
+    fact = lambda kind, name=None, value=None: f.out["facts"].append({"kind": kind, "name": name, "value": value})
+    for c, _ in f.calls:
+        if c["name"] == "setGlobalPrefix" and strings(c):
+            fact("global_prefix", None, strings(c)[0])
+        elif c["name"] == "enableVersioning":
+            # By path unless another type is named.
+            kinds = [a["text"] for a in c["arg_lits"] if a["kind"] == "ident" and a["text"].startswith("VersioningType.")]
+            if all(k == "VersioningType.URI" for k in kinds):
+                fact("uri_versions")
+        elif c["name"] == "register" and (c["receiver"] or "").split(".")[-1] == "RouterModule":
+            path = None
+            for a in c["arg_lits"]:
+                if a["key"] == "path":
+                    path = a["text"]
+                elif a["key"] == "module" and path is not None:
+                    fact("module_prefix", a["text"], path)
+                    path = None
+    for owner, above in f.types.items():
+        for d in above:
+            if d["name"] == "Module":
+                for controller in keyed(d, "controllers"):
+                    fact("module_controller", owner, controller)
+
+
 def _made_by(f: File, variable: str, name: str, receiver: str) -> str | None:
     """The base address of a client made under a variable; None if it was not made so."""
     for c, _ in f.calls:
@@ -283,14 +312,17 @@ def _python(f: File, prefix: dict[str, str]) -> None:
                 continue
             names = [a["text"] for a in c["arg_lits"] if a["kind"] == "ident"]
             handler = names[0].removesuffix(".as_view").split(".")[-1] if names else None
-            f.endpoint("ANY", join("", clean), "django", c["line"], handler, high=name != "url")
+            view = bool(names) and names[0].endswith(".as_view")
+            f.endpoint("ANY", join("", clean), "django", c["line"], handler, handler if view else None, high=name != "url", action="view" if view else None)
         elif name == "register" and path is not None and f.has("rest_framework"):
             view = handler_of(c)
-            for m, s in (("GET", ""), ("POST", ""), ("GET", "/{pk}"), ("PUT", "/{pk}"), ("PATCH", "/{pk}"), ("DELETE", "/{pk}")):
-                f.endpoint(m, join(path, s), "drf", c["line"], view, high=False)
+            for action, m, s in VIEWSET:
+                f.endpoint(m, join(path, s), "drf", c["line"], action, view, high=False, action=action)
         elif name == "add_url_rule" and path:
+            target = first(keyed(c, "view_func")) or handler_of(c)
+            view = target.removesuffix(".as_view").split(".")[-1] if target and target.endswith(".as_view") and not keyed(c, "methods") else None
             for m in keyed(c, "methods") or ["GET"]:
-                f.endpoint(m.upper(), join(prefix.get(recv.split(".")[-1], ""), path), "flask", c["line"], first(keyed(c, "view_func")) or handler_of(c))
+                f.endpoint(m.upper(), join(prefix.get(recv.split(".")[-1], ""), path), "flask", c["line"], view or target, view, action="view" if view else None)
         elif name.startswith("add_") and name[4:] in (*HTTP, "route") and f.has("aiohttp"):
             s = strings(c)
             if name == "add_route" and len(s) >= 2:
@@ -555,11 +587,15 @@ def detect(language: str, path: str, record: dict, evidence: list[str] | None =
     """All detections of one file, as lists of rows."""
     f = File(language, path, record, evidence or [])
     if not record["functions"]:
+        if language in _JS and f.has("@nestjs"):
+            _nest_facts(f)
         return f.out
     prefix = _prefixes(f)
     _decorated(f)
     if language in _JS:
         _js(f, prefix)
+        if f.has("@nestjs"):
+            _nest_facts(f)
     elif language == "python":
         _python(f, prefix)
     elif language == "go":

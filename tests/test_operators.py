@@ -55,7 +55,10 @@ def test_correlation_tiers(spark):
 def test_mounts_and_rest_paths(spark):
     m = spark.createDataFrame([(2, 1, "/api"), (3, 2, "users"), (4, 1, "/x"), (4, 2, "/y"), (5, 4, "/z")], "child bigint, parent bigint, prefix string")
     assert got(C.compose_prefixes(m), "child", "prefix")[:2] == [(2, "/api"), (3, "/api/users")]
-    assert {r.child: r.prefix for r in C.compose_prefixes(m).collect()}[4] is None
+    assert {r.child: r.prefix for r in C.compose_prefixes(m).collect() if r.child > 3} == {4: None, 5: None}
+    chain = spark.createDataFrame([(n, n - 1, f"/p{n}") for n in range(2, 9)], "child bigint, parent bigint, prefix string")
+    assert {r.child: r.prefix for r in C.compose_prefixes(chain).collect()} == {n: "/" + "/".join(f"p{k}" for k in range(2, n + 1)) if n <= 5 else None for n in range(2, 9)}
+    assert {r.prefix for r in C.compose_prefixes(chain.selectExpr("*", "12 AS hops")).collect() if r.child == 8} == {"/p2/p3/p4/p5/p6/p7/p8"}
     r = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 99, "c")], "id int, parent int, part string")
     assert got(C.rest_paths(r), "id", "path", "known") == [(1, "/a", True), (2, "/a/b", True), (3, "/{*}/c", False)]
 
