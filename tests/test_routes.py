@@ -28,6 +28,23 @@ def test_global_prefix_and_versions(spark):
     assert found(spark, NEST) == [("GET", "/api/cats", "all", False), ("GET", "/api/v1/cats/:id", "one", False), ("GET", "/api/v2/cats/:id", "one", False)]
 
 
+MODULES = {
+    "app.module.ts": "import { RouterModule } from '@nestjs/core';\nfunction setup() { return RouterModule.register([{ path: 'admin', module: AdminModule }]); }\n",
+    "admin.ts": "import { Controller, Get, Module } from '@nestjs/common';\n@Controller('x')\nexport class Admin {\n  @Get('y')\n  y() { return 1; }\n}\n@Module({ controllers: [Admin, Other] })\nexport class AdminModule {}\n",
+}
+FLASK = {
+    "app.py": "from flask import Flask\nfrom flask.views import MethodView\napp = Flask(__name__)\nclass Counter(MethodView):\n    def get(self):\n        pass\n    def put(self):\n        pass\napp.add_url_rule('/n', view_func=Counter.as_view('n'))\n",
+}
+
+
+def test_module_prefix(spark):
+    assert found(spark, MODULES) == [("GET", "/admin/x/y", "y", False)]
+
+
+def test_method_views(spark):
+    assert found(spark, FLASK) == [("GET", "/n", "get", False), ("PUT", "/n", "put", False)]
+
+
 def test_class_views_and_view_sets(spark):
     got = found(spark, VIEWS)
     assert [g for g in got if "users" in g[1] or "plain" in g[1]] == [("ANY", "/plain/", "plain", True), ("GET", "/users/", "get", False), ("POST", "/users/", "post", False)]
