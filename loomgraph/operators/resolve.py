@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.plans.lineage import materialize, release
 
 #: What a relative import may end in, in the order tried.
 SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 #: Receivers that mean the own type.
 SELF = ["this", "self", "$this", "Self"]
 RIVALS = 8
+#: Lines in a block of spans.
+BLOCK = 64
 RUNGS = ["by type", "own type", "builtin", "import", "type name", "same file", "named import", "same package", "same directory", "by name", "external import"]
 
 
@@ -183,18 +186,44 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame, fi
     )
 
 
-def apply_answers(calls: DataFrame, answers: DataFrame, functions: DataFrame, files: DataFrame) -> DataFrame:
+def _pointed(answers: DataFrame, functions: DataFrame, files: DataFrame) -> DataFrame:
+    """(def_file, def_line, fn) for every line an answer points to: the function that begins there or the smallest around it.
+
+    Answers share lines and functions share spans, so distinct lines meet distinct spans, by blocks of lines.
+    """
+    spans = functions.filter(~F.col("is_toplevel")).join(files.select(F.col("id").alias("file_id"), F.col("path").alias("def_file")), "file_id")
+    spans = spans.groupBy("def_file", "start_line", "end_line").agg(F.min("id").alias("fn")).filter("start_line <= end_line")
+    block = lambda line: F.floor(F.col(line) / BLOCK).cast("bigint")
+    spans = spans.withColumn("_b", F.explode(F.sequence(block("start_line"), block("end_line"))))
+    lines = answers.filter("def_line is not null").select("def_file", "def_line").distinct().withColumn("_b", block("def_line"))
+    rank = F.struct((F.col("start_line") != F.col("def_line")).alias("off"), (F.col("end_line") - F.col("start_line")).alias("len"), "fn")
+    inside = lines.join(spans, ["def_file", "_b"]).filter("start_line <= def_line and def_line <= end_line")
+    return inside.groupBy("def_file", "def_line").agg(F.min(rank).alias("m")).select("def_file", "def_line", F.col("m.fn").alias("fn"))
+
+
+def apply_answers(calls: DataFrame, answers: DataFrame, functions: DataFrame, files: DataFrame, rounds: int = 1) -> DataFrame:
     """Edges settled by answers (path, line, col, def_file, def_line, def_package) about a call's name.
 
     A definition in the tree becomes the sure callee, the function that begins there or the smallest around it;
-    one outside makes the call external; calls without an answer stay.
+    one outside makes the call external; calls without an answer stay.  With several ``rounds`` each takes the
+    places of its own hash and writes its calls, so that only one round's shuffle files are on disk at a time.
     """
-    spans = functions.filter(~F.col("is_toplevel")).join(files.select(F.col("id").alias("file_id"), F.col("path").alias("def_file")), "file_id").select("def_file", F.col("id").alias("fn"), "start_line", "end_line")
-    inside = answers.filter("def_line is not null").join(spans, "def_file").filter("start_line <= def_line and def_line <= end_line")
-    keys = ["path", "line", "col"]
-    rank = F.struct((F.col("start_line") != F.col("def_line")).alias("off"), (F.col("end_line") - F.col("start_line")).alias("len"), "fn")
-    hit = inside.groupBy(*keys).agg(F.min(rank).alias("m")).select(*keys, F.col("m.fn").alias("fn"))
-    told = answers.join(hit, keys, "left").select(F.col("path").alias("_path"), F.col("line").alias("name_line"), F.col("col").alias("name_col"), "fn", "def_package")
+    pointed = _pointed(answers, functions, files)
+    if rounds == 1:
+        return _rewrite(calls, answers, pointed, functions, files)
+    pointed, out = materialize(pointed), []
+    for r in range(rounds):
+        mine = lambda line, col: F.pmod(F.xxhash64(F.col(line).cast("bigint"), F.col(col).cast("bigint")), F.lit(rounds)) == r  # noqa: B023, E731
+        out.append(materialize(_rewrite(calls.filter(mine("name_line", "name_col")), answers.filter(mine("line", "col")), pointed, functions, files)))
+        release(calls.sparkSession)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _rewrite(calls: DataFrame, answers: DataFrame, pointed: DataFrame, functions: DataFrame, files: DataFrame) -> DataFrame:
+    # What names neither a function nor a package changes no call.
+    inside = answers.filter("def_line is not null").join(pointed, ["def_file", "def_line"], "left").filter("fn is not null or def_package is not null")
+    outside = answers.filter("def_line is null and def_package is not null").withColumn("fn", F.lit(None).cast("bigint"))
+    told = inside.unionByName(outside).select(F.col("path").alias("_path"), F.col("line").alias("name_line"), F.col("col").alias("name_col"), "fn", "def_package")
     where = functions.select(F.col("id").alias("caller"), "file_id").join(files.select(F.col("id").alias("file_id"), F.col("path").alias("_path")), "file_id").drop("file_id")
     d = calls.join(where, "caller").join(told, ["_path", "name_line", "name_col"], "left")
     settled, outside = F.col("fn").isNotNull(), F.col("fn").isNull() & F.col("def_package").isNotNull()

@@ -125,6 +125,37 @@ def test_answers_rewrite_edges(spark):
     assert [r.idx for r in resolve.questions(c, a, f, files).collect()] == [2]
 
 
+def test_answers_in_rounds(spark):
+    files = spark.createDataFrame([(0, "a.ts"), (1, "b.ts")], "id bigint, path string")
+    # Equal spans, one that begins on the line, one over several blocks, one that ends before it begins.
+    f = spark.createDataFrame([(0, 0, 1, 900, False), (1, 1, 1, 400, False), (2, 1, 70, 90, False), (3, 1, 70, 90, False), (4, 1, 80, 300, False), (5, 1, 90, 80, False), (6, 1, 80, 81, True)], "id bigint, file_id bigint, start_line int, end_line int, is_toplevel boolean")
+    c = spark.createDataFrame([(i, 0, i, 4, "internal", 1, False, [2], None) for i in range(40)], "idx bigint, caller bigint, name_line int, name_col int, kind string, callee bigint, high boolean, ambiguous_with array<bigint>, package string")
+    a = spark.createDataFrame([("a.ts", i, 4, "b.ts", (80, 75, 350, 500)[i % 4], "out" if i % 8 == 3 else None) for i in range(20)] + [("a.ts", i, 4, None, None, "lodash" if i % 2 else None) for i in range(20, 30)], "path string, line bigint, col bigint, def_file string, def_line int, def_package string")
+    want = {i: ("internal", (4, 2, 1)[i % 4], True, None) if i < 20 and i % 4 < 3 else ("external", None, True, "out") if i < 20 and i % 8 == 3 else ("external", None, True, "lodash") if 20 <= i < 30 and i % 2 else ("internal", 1, False, None) for i in range(40)}
+    for rounds in (1, 3):
+        out = resolve.apply_answers(c, a, f, files, rounds).collect()
+        assert len(out) == 40 and {r.idx: (r.kind, r.callee, r.high, r.package) for r in out} == want
+
+
+def test_answers_meet_spans_once_a_line(spark):
+    files = spark.createDataFrame([(0, "a.ts")], "id bigint, path string")
+    f = spark.createDataFrame([(i, 0, 1, 9, False) for i in range(100)], "id bigint, file_id bigint, start_line int, end_line int, is_toplevel boolean")
+    c = spark.createDataFrame([(i, 0, i, 4, "internal", 1, False, [2], None) for i in range(100)], "idx bigint, caller bigint, name_line int, name_col int, kind string, callee bigint, high boolean, ambiguous_with array<bigint>, package string")
+    a = spark.createDataFrame([("a.ts", i, 4, "a.ts", 5, None) for i in range(100)], "path string, line int, col int, def_file string, def_line int, def_package string")
+    out = resolve.apply_answers(c, a, f, files)
+    assert {r.callee for r in out.collect()} == {0}
+    # 10,000 rows when every answer meets every span.
+    nodes, most = [out._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        n = nodes.pop()
+        if n.metrics().contains("numOutputRows"):
+            most = max(most, n.metrics().apply("numOutputRows").value())
+        kids = n.children()
+        nodes += [kids.apply(i) for i in range(kids.size())]
+        nodes += [n.executedPlan()] if n.nodeName().startswith("AdaptiveSparkPlan") else [n.plan()] if "QueryStage" in n.nodeName() else []
+    assert 100 <= most <= 200, most
+
+
 def test_ring():
     ring = touches.replay([], [{"ts": i, "files": ["a"], "why": "", "agent": ""} for i in range(30)])
     assert [e["ts"] for e in ring] == list(range(20, 30))
